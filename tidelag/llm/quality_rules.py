@@ -31,9 +31,9 @@ MIN_GROUP = 40
 #: Share of a group's rows that the estimate covers, and concentration steps.
 COVER, STEPS = 0.75, 4
 #: Standard deviations below which differences of a statistic don't matter (keeps covariances regular).
-FLOOR = (0.08, 0.06, 0.08, 0.12)
-#: Chi-square quantiles with 4 degrees of freedom at 0.5, 0.75, 0.975 and 1 - 1e-9.
-CHI = {0.5: 3.3567, 0.75: 5.3853, 0.975: 11.1433, "reject": 48.0}
+FLOOR = (0.08, 0.04, 0.12, 0.2)
+#: Chi-square quantiles with 4 degrees of freedom at 0.975 and 1 - 3e-7.
+CHI = {0.975: 11.1433, "reject": 36.0}
 D = 4
 
 
