@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules
+from . import bpe, media, minhash, mixing, quality_rules, suffix_dedup, warc
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.query, "op2_bpe": bpe.query, "op6_quality_rules": quality_rules.query}
+    return {
+        "op1_mixing": mixing.query,
+        "op2_bpe": bpe.query,
+        "op4_media": media.query,
+        "op5_warc": warc.query,
+        "op6_quality_rules": quality_rules.query,
+        "op7_suffix_dedup": suffix_dedup.query,
+        "op8_minhash": minhash.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
