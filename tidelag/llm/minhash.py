@@ -7,10 +7,11 @@ chunk with at most one error; for each chunk one key is made for every place of
 error, which enumerates the allowed errors. Pairs that share a key and are within the
 distance are confirmed on their full sets.
 
-Links are found in two rounds. First every class is tested against the nearest of the
-smallest classes of its keys. What these links join needs no more tests, so that large
-groups of copies never become pairs; then all pairs under the distance that are still
-in different components are tested. Large groups of the second round are cut into blocks.
+Within a bucket, signatures are compared until those within the distance hang together; the
+buckets' spanning forests join into loose clusters, so pairs never become rows. In a cluster the
+full sets of all members meet, intersections are products of 0/1 matrices, and again only a
+spanning forest leaves the task. Large buckets and clusters are cut into parts of BLOCK members,
+every two of which meet in a task of their own.
 
 Missing a link needs more than MOST of 64 minima to differ: under 2e-7 for a pair of
 similarity 0.85, far less above.
@@ -144,6 +145,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, cid long, cid2 long, n long, sig binary")
 
 
+def low_bytes(column: str):
+    """The low byte of each symbol of a signature."""
+    return F.unhex(F.regexp_replace(F.hex(column), "(..)..", "$1"))
+
+
 def keyed(classes: DataFrame) -> DataFrame:
     """key and cid: SYMBOLS rows for each class."""
 
@@ -156,45 +162,6 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sig").mapInArrow(run, "key long, cid long")
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b and d of the pairs whose sizes allow a link and whose signatures differ in at most MOST symbols."""
-    one = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").filter("100 * least(n_a, n_b) >= 85 * greatest(n_a, n_b)")
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-            d = (x != y).sum(1)
-            ok = d <= MOST
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(d[ok], pa.int32())], ["a", "b", "d"])
-
-    return both.mapInArrow(run, "a long, b long, d int")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs a, b whose full sets have 100 * intersection >= 85 * union."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
-    need = stored(need, "minhash-need")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(need, F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
-
-    def kernel(batch: pa.RecordBatch) -> dict:
-        h, off = shingles(*flat(batch.column("text")))
-        n = np.diff(off)
-        total = np.zeros(len(n), np.uint64)
-        if (n > 0).any():
-            total[n > 0] = np.add.reduceat(mix64(h), off[:-1][n > 0])
-        own = mix64(total + n.astype(np.uint64)).view(np.int64)
-        return {"cid": batch.column("cid"), "own": own, "items": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))}
-
-    sets = per_slice(rows, "text", kernel, "cid long, own long, items array<long>").filter("cid = own").drop("own")
-    sets = stored(sets.dropDuplicates(["cid"]), "minhash-sets")
-    one = lambda c: sets.select(F.col("cid").alias(c), F.col("items").alias(f"items_{c}"))
-    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
-    return both.filter("100L * common >= 85L * (size(items_a) + size(items_b) - common)").select("a", "b")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """v and root (the smallest vertex reachable) of every vertex of the edges a, b: large-star and small-star steps."""
     edges = stored(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct(), "links")
@@ -215,80 +182,147 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.selectExpr("u AS v", "root").unionByName(roots.selectExpr("root AS v", "root").distinct())
 
 
-_triangle: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Unites the places x and y pairwise: label[i] becomes the smallest place that i reaches."""
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+        rest = label[x] != label[y]
+        x, y = x[rest], y[rest]
 
-def _across(cols: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray):
-    """Pairs a, b of different components within the distance, of each group of rows."""
-    out = []
 
-    def tested(x: np.ndarray, y: np.ndarray) -> None:
-        ok = cols["comp"][x] != cols["comp"][y]
-        low, high = np.minimum(cols["n"][x], cols["n"][y]), np.maximum(cols["n"][x], cols["n"][y])
-        ok &= 100 * low >= 85 * high
-        x, y = x[ok], y[ok]
-        for k in range(0, len(x), 1 << 17):
-            i, j = x[k : k + (1 << 17)], y[k : k + (1 << 17)]
-            hit = (cols["sig"][i] != cols["sig"][j]).sum(1) <= MOST
-            out.append((cols["cid"][i[hit]], cols["cid"][j[hit]]))
+def blocks_of(members: DataFrame, by: str, block: int, size: str = "size") -> DataFrame:
+    """Members with salt, bi and bj: groups of `by` above `block` rows are cut, and every pair of parts meets once."""
+    cut = members.withColumn("parts", F.ceil(F.col(size) / block).cast("int")).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return cut.withColumn("bi", F.least("salt", "other")).withColumn("bj", F.greatest("salt", "other")).drop("parts", "other", size)
 
-    xs, ys, held = [], [], 0
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        if cols["bi"][s] == cols["bj"][s]:
-            size = e - s
-            if size not in _triangle:
-                if len(_triangle) > 200:
-                    _triangle.clear()
-                _triangle[size] = np.triu_indices(size, 1)
-            i, j = _triangle[size]
-            xs.append(i + s)
-            ys.append(j + s)
-        else:
-            own = cols["salt"][s:e] == cols["bi"][s]
-            i, j = np.flatnonzero(own) + s, np.flatnonzero(~own) + s
-            xs.append(np.repeat(i, len(j)))
-            ys.append(np.tile(j, len(i)))
-        held += len(xs[-1])
-        if held > 1 << 20:
-            tested(np.concatenate(xs), np.concatenate(ys))
-            xs, ys, held = [], [], 0
-    if xs:
-        tested(np.concatenate(xs), np.concatenate(ys))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return both[:, 0], both[:, 1]
 
-
-def across(members: DataFrame) -> DataFrame:
-    """Distinct pairs a, b; members: key, bi, bj, salt, cid, comp, n, sig."""
-    names = ("key", "bi", "bj", "salt", "cid", "comp", "n")
+def grouped(members: DataFrame, by: str, names: tuple[str, ...], kernel, parts: int | None = None) -> DataFrame:
+    """Rows a, b that kernel gives for whole groups of (by, bi, bj); the rows of a group reach it together, in bounded batches of groups."""
 
     def run(batches):
         rest = None
         for batch in _and_none(batches):
+            table = rest
             if batch is not None:
-                cols = {c: np.asarray(batch.column(c)) for c in names}
-                cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                if rest is not None:
-                    cols = {c: np.concatenate([rest[c], x]) for c, x in cols.items()}
-            else:
-                cols = rest
-            if cols is None or not len(cols["key"]):
+                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
                 continue
-            turn = (cols["key"][1:] != cols["key"][:-1]) | (cols["bi"][1:] != cols["bi"][:-1]) | (cols["bj"][1:] != cols["bj"][:-1])
-            bounds = np.concatenate([[0], np.flatnonzero(turn) + 1, [len(cols["key"])]])
+            k, i, j = (np.asarray(table.column(c)) for c in (by, "bi", "bj"))
+            bounds = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(k)]])
             if batch is not None:  # the last group may go on
-                rest = {c: x[bounds[-2] :] for c, x in cols.items()}
+                rest = table.slice(bounds[-2])
                 bounds = bounds[:-1]
             if len(bounds) > 1:
-                a, b = _across(cols, bounds[:-1], bounds[1:])
+                a, b = kernel(table.slice(0, bounds[-1]).combine_chunks(), bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = members.select(*names, "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    keys = [by, "bi", "bj"]
+    dealt = members.select(*keys, *names)
+    dealt = dealt.repartition(parts, *keys) if parts else dealt.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def pairs_in(bounds: np.ndarray, split: np.ndarray, own: np.ndarray, most: int = 1 << 20):
+    """Index pairs of each group between bounds, in chunks; of a group of two parts those between the parts."""
+    xs, ys, held = [], [], 0
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if split[s]:
+            mine = own[s:e]
+            rows, others = np.flatnonzero(mine) + s, np.flatnonzero(~mine) + s
+        else:
+            rows, others = np.arange(s, e), None
+        step = max(1, most // max(e - s, 1))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            if others is None:
+                i, j = np.repeat(part, e - part - 1), np.concatenate([np.arange(r + 1, e) for r in part.tolist()]) if len(part) else part
+            else:
+                i, j = np.repeat(part, len(others)), np.tile(others, len(part))
+            xs.append(i)
+            ys.append(j)
+            held += len(i)
+            if held > most:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
+    if xs:
+        yield np.concatenate(xs), np.concatenate(ys)
+
+
+def _close(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the members of each bucket that are within the distance."""
+    cid, n, bi, bj, salt = (np.asarray(table.column(c)) for c in ("cid", "n", "bi", "bj", "salt"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+    label = np.arange(len(cid))
+    for x, y in pairs_in(bounds, bi != bj, salt == bi):
+        for k in range(0, len(x), 1 << 16):
+            i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= 85 * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            near = (sig[i] != sig[j]).sum(1) <= MOST
+            joined(label, i[near], j[near])
+    linked = np.flatnonzero(label != np.arange(len(cid)))
+    return cid[linked], cid[label[linked]]
+
+
+def _linked(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among the members of each cluster: intersections of full sets as matrix products."""
+    cid, bi, bj, salt = (np.asarray(table.column(c)) for c in ("cid", "bi", "bj", "salt"))
+    lists = table.column("items").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))])
+    items = np.asarray(lists.flatten())
+    label = np.arange(len(cid))
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        size = np.diff(ends[s : e + 1])
+        own, code, often = np.unique(items[ends[s] : ends[e]], return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(e - s), size)
+        every = int((often == e - s).sum())
+        use = (often > 1) & (often < e - s)
+        column = np.cumsum(use) - 1
+        keep = use[code]
+        r, c = row[keep], column[code[keep]]
+        common = np.full((e - s, e - s), every, np.float32)
+        width = max(256, (8 << 20) // max(e - s, 1))
+        order = np.argsort(c, kind="stable")
+        r, c = r[order], c[order]
+        for k in range(0, int(use.sum()), width):
+            a, b = np.searchsorted(c, [k, k + width])
+            x = np.zeros((e - s, width), np.float32)
+            x[r[a:b], c[a:b] - k] = 1
+            common += x @ x.T
+        both = size[:, None] + size[None, :]
+        link = 100 * common >= 85 * (both - common)
+        if bi[s] != bj[s]:
+            mine = salt[s:e] == bi[s]
+            link &= mine[:, None] != mine[None, :]
+        i, j = np.nonzero(np.triu(link, 1))
+        joined(label, i + s, j + s)
+    linked = np.flatnonzero(label != np.arange(len(cid)))
+    return cid[linked], cid[label[linked]]
+
+
+def sets_of(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """cid and items (the set) of the classes in need (cid, rep)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(need.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        h, off = shingles(*flat(batch.column("text")))
+        n = np.diff(off)
+        total = np.zeros(len(n), np.uint64)
+        if (n > 0).any():
+            total[n > 0] = np.add.reduceat(mix64(h), off[:-1][n > 0])
+        own = mix64(total + n.astype(np.uint64)).view(np.int64)
+        return {"cid": batch.column("cid"), "own": own, "items": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))}
+
+    return per_slice(rows, "text", kernel, "cid long, own long, items array<long>").filter("cid = own").drop("own").dropDuplicates(["cid"])
 
 
 def _and_none(batches):
@@ -306,25 +340,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.drop("low", "high")
 
     keys = keyed(classes)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("first")).filter("members > 1")
-    shared = stored(keys.join(buckets, "key"), "minhash-keys")
-
-    star = near(shared.filter("first <> cid").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), classes)
-    star = stored(star.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b"), "minhash-star")
-    links = stored(confirmed(star, docs, classes, id_col, text_col), "minhash-links")
-    comps = stored(components(links), "minhash-comps")
-
-    member = shared.join(comps.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid"))
-    split = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    member = member.select("key", "cid", "comp").join(split.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
-    member = member.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    member = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    member = member.select("key", "cid", "comp", "salt", F.least("salt", "other").alias("bi"), F.greatest("salt", "other").alias("bj"))
-    more = stored(across(member.join(classes.select("cid", "n", "sig"), "cid")), "minhash-more")
-    if more.limit(1).count():
-        more = stored(confirmed(more, docs, classes, id_col, text_col), "minhash-more-links")
-        if more.limit(1).count():
-            comps = stored(components(links.unionByName(more)), "minhash-comps")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
+    buckets = buckets.filter("size > 1").groupBy("size", "low", "high", "mark").agg(F.min("key").alias("key")).select("key", "size")  # one of those with the same members
+    members = stored(keys.join(buckets, "key"), "minhash-members")
+    members = blocks_of(members.join(classes.select("cid", "n", low_bytes("sig").alias("sig")), "cid"), "key", BLOCK)
+    loose = components(grouped(members, "key", ("cid", "n", "salt", "sig"), _close))
+
+    loose = stored(loose.select(F.col("v").alias("cid"), "root"), "minhash-clusters")
+    sizes = loose.groupBy("root").agg(F.count("*").alias("size"))
+    need = stored(loose.join(classes.select("cid", "rep"), "cid").select("cid", "rep"), "minhash-need")
+    sets = sets_of(docs, need, id_col, text_col).join(loose, "cid").join(sizes, "root")
+    comps = stored(components(grouped(blocks_of(sets, "root", BLOCK), "root", ("cid", "salt", "items"), _linked)), "minhash-comps")
 
     named = classes.select("cid", "rep").join(comps.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
