@@ -1 +1 @@
-"""functions."""
+"""Numeric helpers, piecewise polynomials and bases."""

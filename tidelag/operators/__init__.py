@@ -1 +1 @@
-"""operators."""
+"""Lag, cross-basis, fitting, prediction and attribution operators."""

@@ -1 +1 @@
-"""sources."""
+"""Tables, derived series, and simulated data."""
