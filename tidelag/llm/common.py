@@ -15,7 +15,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text that one call of a kernel handles at once (a longer single text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -67,11 +69,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts near SLICE_BYTES in the JVM too: at most BATCH_ROWS rows unless the session says fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def per_slice(df: DataFrame, column: str, kernel: Callable[[pa.RecordBatch], dict], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a kernel that gets slices of bounded size and returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

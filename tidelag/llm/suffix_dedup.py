@@ -9,8 +9,8 @@
    iterative interleave refinement: each iteration sorts the interleave by one more leading
    symbol, by way of the preceding symbols alone, and a boundary that appears in iteration k
    gives the common prefix k - 1 there. No suffix is sorted again.
-4. A window survives if the common prefix at its first mark reaches its last mark; an exact
-   check of the windows' own hashes follows. Keys with very many runs are dealt over several
+4. A window survives if the common prefix at its first mark reaches its last mark, or DEPTH
+   phrases; an exact check of the windows' own hashes follows. Keys with very many runs are dealt over several
    tasks; windows that are alone in theirs meet those of the others by hash.
 
 Hashes have 64 bits; names of texts are checked for collisions.
@@ -32,10 +32,10 @@ from .common import flat, mix64, per_slice, stored
 from .minhash import powers
 
 SPAN, GRAM = 400, 64
-#: Marks of the parse: minima of hashes of MARK bytes over REACH positions.
-REACH, MARK = 24, 8
+#: Marks of the parse: minima of hashes of MARK bytes over REACH positions. Phrases by which the interleave is refined at most.
+REACH, MARK, DEPTH = 48, 8, 24
 #: Bytes of runs in one task, phrases in a shard, and runs of one key in one task.
-TASK_BYTES, SHARD, HOT = 8 << 20, 1 << 17, 2000
+TASK_BYTES, SHARD, HOT = 2 << 20, 1 << 16, 2000
 
 _LETTER = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -198,10 +198,10 @@ def candidates(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     phrase[inner] = np.unique(hashes.of(marks[inner], gap), return_inverse=True)[1] + 1
     first = np.searchsorted(marks, place + REACH - 1)
     last = np.searchsorted(marks, place + SPAN - REACH - MARK + 1, "right") - 1
-    most = int(max((last - first).max(), 1)) if len(place) else 1
-    repeat = longest_repeats(phrase, most)
-    ok = last <= first
-    ok[~ok] = repeat[first[~ok]] >= (last - first)[~ok]
+    need = np.minimum(last - first, DEPTH)
+    repeat = longest_repeats(phrase, int(max(need.max(), 1)) if len(place) else 1)
+    ok = need <= 0
+    ok[~ok] = repeat[first[~ok]] >= need[~ok]
     return place[ok]
 
 
@@ -218,7 +218,7 @@ def _summary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
         return {"id": batch.column("id"), "n_bytes": np.diff(off), "sha": sha, "cls": np.array([int.from_bytes(x[:8], "little", signed=True) for x in sha], np.int64), "keys": keys}
 
-    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, n_bytes long, sha binary, cls long, keys array<long>")
+    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, n_bytes long, sha binary, cls long, keys array<long>", 1 << 20)
 
 
 def _spanned(texts: DataFrame) -> DataFrame:
