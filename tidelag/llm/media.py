@@ -142,7 +142,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             media.append(wav(payload, codec or CODECS[zlib.crc32(payload) % len(CODECS)]))
         return {id_col: batch.column("id"), "n_bytes": np.diff(off), "media": media}
 
-    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"`{id_col}` {kind}, n_bytes long, media binary", 1 << 20)
 
 
 def decoded(files: list[bytes]) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
