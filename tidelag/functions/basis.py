@@ -327,9 +327,9 @@ def fit_basis(data: Data, fun: str | Callable = "ns", cen: Any = None, **args: A
     return Basis(fun, pieces, attrs, data.range(), cen)
 
 
-def one_basis(df: DataFrame, column: str, fun: str | Callable = "ns", cen: Any = None, **args: Any) -> Basis:
+def one_basis(rows: DataFrame, column: str, fun: str | Callable = "ns", cen: Any = None, **args: Any) -> Basis:
     """A basis fitted to a DataFrame's column."""
-    return fit_basis(Column(df, column), fun, cen, **args)
+    return fit_basis(Column(rows, column), fun, cen, **args)
 
 
 def with_basis(df: DataFrame, column: str, basis: Basis, name: str = "b") -> DataFrame:

@@ -58,5 +58,5 @@ def filled_calendar(df: DataFrame, day: str, group: str | None = None) -> DataFr
     """df with a row for every day between the first and the last (of each group), other columns null where there was none."""
     key = [group] if group else []
     ends = df.groupBy(*key).agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    days = ends.select(*key, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).cast(df.schema[day].dataType).alias(day))
+    days = ends.select(*key, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day)).withColumn(day, F.col(day).cast(df.schema[day].dataType))
     return days.join(df, [*key, day], "left").select(*df.columns)
