@@ -1,19 +1,21 @@
-"""Corpus pipeline: quality rules, mixing and BPE so far, each stage written and read again."""
+"""Corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, BPE; each stage is written and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelag.llm import bpe, mixing, quality_rules
+from tidelag.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
 from tidelag.llm.common import stored
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("minhash", minhash.stage),
+    ("suffix_dedup", suffix_dedup.stage),
     ("mixing", mixing.stage),
     ("bpe", bpe.stage),
 ]
 
-#: SQL can't express the estimates, the hash order or the merges.
+#: SQL can't express the estimates, the near-duplicates over whole tables, the hash order or the merges.
 ORACLE_SQL = None
 
 
