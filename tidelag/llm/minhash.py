@@ -114,7 +114,7 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
     wide = sig.astype(np.uint64) * np.uint64(0x9E3779B1) + np.uint64(1)
     for chunk in np.array_split(np.arange(SYMBOLS), CHUNKS):
         for hole in chunk:
-            h = np.full(len(sig), np.uint64(at + 1) * _BASE)
+            h = mix64(np.full(len(sig), at + 1, np.uint64))
             for k in chunk:
                 if k != hole:
                     h = mix64(h ^ wide[:, k]) + np.uint64(k)

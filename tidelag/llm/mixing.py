@@ -145,7 +145,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, its last part of a pass by a hash of its id."""
-    took = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), (F.col("taken") / F.col("size")).alias("passes"))
+    took = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("passes"))
     took = took.withColumn("n", F.floor(F.col("passes") + F.pmod(F.xxhash64("k_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int")).filter("n > 0")
     took = took.groupBy("k_id", "k_source").agg(F.max("n").alias("n"))
     rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")))
