@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, mix64, per_slice, stored, sums, word_starts
+from .common import SPACE, flat, fresh, mix64, per_slice, stored, sums, word_starts
 
 SYMBOLS, MOST = 64, 27
 #: Chunks: each may hold one error, so CHUNKS * 2 > MOST.
@@ -84,11 +84,12 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndar
         long = count >= width
         skip = at[long] - (np.cumsum(number[long]) - number[long])
         out[np.repeat(long, number)] = h[np.arange(int(number[long].sum())) + np.repeat(skip, number[long])]
-    for i in np.flatnonzero((count > 0) & (count < width)).tolist():
-        h = np.uint64(count[i])
-        for k in range(int(count[i])):
-            h = (h * m + word[at[i] + k]) if k else mix64(np.array([h]))[0] + word[at[i]]
-        out[ends[i]] = h
+    short = np.flatnonzero((count > 0) & (count < width))
+    h = mix64(count[short].astype(np.uint64))
+    for k in range(width - 1):
+        more = count[short] > k
+        h[more] = h[more] * m + word[at[short[more]] + k]
+    out[ends[short]] = h
     out = mix64(out)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         out[a:b].sort()
@@ -367,6 +368,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group; of repeated rows one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    (doc,) = fresh(docs, "k_id")
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(doc)).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, per_slice, stored, sums, word_starts
+from .common import flat, fresh, mix64, per_slice, stored, sums, word_starts
 
 #: Of a source's documents, so many on average share a bucket; positions are summed by bucket first.
 BUCKET_DOCS = 1024
@@ -145,8 +145,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, its last part of a pass by a hash of its id."""
-    took = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("passes"))
-    took = took.withColumn("n", F.floor(F.col("passes") + F.pmod(F.xxhash64("k_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int")).filter("n > 0")
-    took = took.groupBy("k_id", "k_source").agg(F.max("n").alias("n"))
-    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k_n")).drop("k_n")
+    doc, source, passes, n, nth = fresh(docs, "k_id", "k_source", "k_passes", "k_n", "k_nth")
+    took = mix(docs).filter("taken > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(source), (F.col("taken") / F.greatest("size", F.lit(1))).alias(passes))
+    took = took.withColumn(n, F.floor(F.col(passes) + F.pmod(F.xxhash64(doc), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int")).filter(f"{n} > 0")
+    took = took.groupBy(doc, source).agg(F.max(n).alias(n))
+    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)))
+    return rows.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(nth)).drop(nth)

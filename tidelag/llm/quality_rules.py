@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, per_slice, stored, sums, word_starts
+from .common import SPACE, flat, fresh, per_slice, stored, sums, word_starts
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -184,5 +184,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are kept."""
-    kept = judged(docs).filter("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    (doc,) = fresh(docs, "k_id")
+    kept = judged(docs).filter("kept").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")

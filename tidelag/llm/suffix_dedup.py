@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, per_slice, stored
+from .common import flat, fresh, mix64, per_slice, small_batches, stored
 from .minhash import powers
 
 SPAN, GRAM = 400, 64
@@ -359,15 +359,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated bytes; documents of which nothing is left go."""
-    cut = repeated_spans(docs).filter("n_removed > 0").select(F.col("doc_id").alias("k_id"), "spans").dropDuplicates(["k_id"])
-    rows = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("k_id")), "left")
+    doc, cuts = fresh(docs, "k_id", "k_spans")
+    cut = repeated_spans(docs).filter("n_removed > 0").select(F.col("doc_id").alias(doc), F.col("spans").alias(cuts)).dropDuplicates([doc])
+    rows = docs.join(cut, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     names, schema = docs.columns, docs.schema
+    small_batches(spark)
 
     def run(batches):
         for batch in batches:
             data, off = flat(batch.column("text"))
             raw, new = data.tobytes(), []
-            for a, b, spans in zip(off[:-1].tolist(), off[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
+            for a, b, spans in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(cuts).to_pylist(), strict=True):
                 text, left, at = raw[a:b], [], 0
                 for s, e in zip((spans or [])[::2], (spans or [])[1::2], strict=True):
                     left.append(text[at:s])
@@ -379,4 +381,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             keep = pa.array([bool(x) for x in new])
             yield pa.RecordBatch.from_arrays([cols[c].filter(keep) for c in names], names)
 
-    return rows.select(*names, "spans").mapInArrow(run, schema)
+    return rows.select(*[f"`{c}`" for c in names], cuts).mapInArrow(run, schema)
