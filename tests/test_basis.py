@@ -103,3 +103,11 @@ def test_own_function_runs_in_batches(spark):
     rows = with_basis(df, "x", b).orderBy(F.col("x").asc_nulls_last()).collect()
     np.testing.assert_allclose([rows[1].b_b1, rows[1].b_b2], [1, np.log(2)])
     assert rows[2].b_b1 is None
+
+
+def test_wide_bases_take_the_batch_path(spark):
+    b = fit_basis(Data(X), "ns", df=30)
+    df = spark.createDataFrame([(float(v),) for v in X[:30]] + [(None,)], "x double").coalesce(1)
+    rows = with_basis(df, "x", b).collect()
+    np.testing.assert_allclose(np.array([r[1:] for r in rows[:-1]], float), b(X[:30]), atol=1e-9)
+    assert rows[-1].b_b1 is None

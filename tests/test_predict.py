@@ -136,3 +136,11 @@ def test_workflow_is_the_explicit_path(spark):
     assert np.isfinite(m.qaic())
     assert "lowest risk" in m.summary()
     assert m.attributable(15.0).count() == 7
+
+
+@pytest.mark.parametrize("direction", ["back", "forw"])
+def test_components_in_one_pass_equal_separate_ones(spark, direction):
+    rows = attr.attribution_table(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, link="log", direction=direction).collect()
+    for r in rows:
+        a = attr.attribute(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, link="log", direction=direction, limits=(r.low_x, r.high_x))
+        np.testing.assert_allclose([r.af, r.an], [a.af, a.an], rtol=1e-9, atol=1e-12)

@@ -332,11 +332,15 @@ def one_basis(rows: DataFrame, column: str, fun: str | Callable = "ns", cen: Any
     return fit_basis(Column(rows, column), fun, cen, **args)
 
 
+#: Formulas (columns times pieces) above which a basis is evaluated in Arrow batches: their code would be too large to compile.
+WIDE = 150
+
+
 def with_basis(df: DataFrame, column: str, basis: Basis, name: str = "b") -> DataFrame:
-    """df with the basis columns {name}_b1, {name}_b2, ...; a function of one's own runs in Arrow batches."""
+    """df with the basis columns {name}_b1, {name}_b2, ...; wide bases and functions of one's own run in Arrow batches."""
     names = basis.names(name)
     clean = f"nanvl(CAST(`{column}` AS DOUBLE), CAST(NULL AS DOUBLE))"
-    if basis.call is None:
+    if basis.call is None and (basis.pieces is None or basis.pieces.columns * len(basis.pieces.origin) <= WIDE):
         return df.withColumn("__x", F.expr(clean)).select("*", *[F.expr(e).alias(n) for e, n in zip(basis.sql("__x"), names, strict=True)]).drop("__x")
     from pyspark.sql.functions import pandas_udf
 

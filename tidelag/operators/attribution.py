@@ -166,6 +166,12 @@ def attribution_table(df: DataFrame, x: str, cases: str, basis: CrossBasis, orde
     spans = [(r.a, r.b), (r.a, cen), (cen, r.b), (r.a, cold), (cold, cen), (cen, heat), (heat, r.b)]
     if draws is None and nsim:
         draws = draws_of(c, v, nsim, seed)
+    if draws is None:
+        if link is not None and link not in ("log", "logit"):
+            raise ValueError("attribution needs a log or logit link")
+        got = _components(df, x, cases, basis, order_by, float(cen), c, direction, spans, group)
+        out = [(part, float(a), float(b), an, af) for part, (a, b), (af, an) in zip(COMPONENTS, spans, got, strict=True)]
+        return df.sparkSession.createDataFrame(out, "component string, low_x double, high_x double, an double, af double")
     out = []
     for part, span in zip(COMPONENTS, spans, strict=True):
         a = attribute(df, x, cases, basis, order_by, cen, coef=c, vcov=v, link=link, direction=direction, limits=span, group=group, draws=draws)
@@ -178,6 +184,45 @@ def attribution_table(df: DataFrame, x: str, cases: str, basis: CrossBasis, orde
     return df.sparkSession.createDataFrame(out, schema)
 
 
+def _components(df: DataFrame, x: str, cases: str, basis: CrossBasis, order_by: str, cen: float, coef: np.ndarray, direction: str, spans, group: str | None) -> list[tuple[float, float]]:
+    """af and an of exposures within each span, in one pass over one window.
+
+    An exposure outside a span counts as cen, so its centred basis is 0 there: each lag's contribution is a
+    number that a span keeps or sets to 0, and no basis column is lagged.
+    """
+    if direction not in ("back", "forw"):
+        raise ValueError("'direction' is back or forw")
+    low, high = basis.lag
+    w, at_ref = over(order_by, group), basis.var(np.array([cen]))[0]
+    own = basis.var.names("__r")
+    rows = df.withColumn("__e", F.nanvl(F.col(x).cast("double"), F.lit(None))).withColumn("__all", F.nanvl(F.col(cases).cast("double"), F.lit(None)))
+    rows = with_basis(rows, "__e", basis.var, "__r")
+    weights = basis.weights if direction == "back" else basis.weights.sum(0)[None, :]
+    slopes = weights @ coef.reshape(basis.df).T  # of each lag, for each basis column
+    parts = [F.expr(" + ".join(f"({r} - {literal(a)}) * {literal(b)}" for r, a, b in zip(own, at_ref, s, strict=True))).alias(f"__g{k}") for k, s in enumerate(slopes)]
+    rows = rows.select(f"`{order_by}`", *([f"`{group}`"] if group else []), "__e", "__all", *parts)
+    inside = [f"__e BETWEEN {literal(a)} AND {literal(b)}" for a, b in spans]
+    kept = [F.expr(f"CASE WHEN {i} THEN __g{k} ELSE 0 * __g{k} END").alias(f"__m{c}_{k}") for c, i in enumerate(inside) for k in range(len(slopes))]
+    rows = rows.select("*", *kept)
+    if direction == "back":
+        eta = [" + ".join(lag_sql(f"__m{c}_{k}", low + k, w) for k in range(len(slopes))) for c in range(len(spans))]
+        number = "__all"
+    else:
+        eta = [f"__m{c}_0" for c in range(len(spans))]
+        number = f"({' + '.join(lag_sql('__all', -k, w) for k in range(low, high + 1))}) / {high - low + 1}"
+    rows = rows.select("__all", F.expr(number).alias("__c"), *[F.expr(f"1 - exp(-({e}))").alias(f"__af{c}") for c, e in enumerate(eta)])
+    sums = [F.sum("__all").alias("all")]
+    for c in range(len(spans)):
+        an = F.col(f"__af{c}") * F.col("__c")
+        sums += [F.sum(an).alias(f"an{c}"), F.sum(F.when(an.isNotNull(), F.col("__c"))).alias(f"n{c}")]
+    got = rows.agg(*sums).first()
+    out = []
+    for c in range(len(spans)):
+        af = got[f"an{c}"] / got[f"n{c}"] if got[f"n{c}"] else float("nan")
+        out.append((af, af * (got["all"] or 0.0)))
+    return out
+
+
 def overall_at(basis: CrossBasis, coef, vcov, values, cen: float, link: str = "log", level: float = 0.95):
     """The overall association at some values."""
     return predict(basis, coef=coef, vcov=vcov, link=link, at=values, cen=cen, level=level)

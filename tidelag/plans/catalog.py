@@ -26,6 +26,7 @@ from ..operators.twostage import fit_groups, pooled, stacked
 from ..operators.uncertainty import interval_frame, model_grid, poisson_loglik, qaic
 from ..sources import series
 from ..sources.datasets import simulate_cities
+from . import recipes
 from .plots import histogram
 from .workflow import fit_lag_model
 
@@ -448,6 +449,27 @@ def _table(spark, d):
     return rounded(out, ["component"], [c for c in out.columns if c != "component"], 3)
 
 
+def table_sql() -> str:
+    """The seven components, each from its definition."""
+    spans = {"total": "(a, b)", "cold": "(a, 5.0)", "heat": "(5.0, b)", "extreme cold": "(a, lo)", "moderate cold": "(lo, 5.0)", "moderate heat": "(5.0, hi)", "extreme heat": "(hi, b)"}
+    edges = "e AS (SELECT min(x) AS a, max(x) AS b, least(quantile_cont(x, 0.025), 5.0e0) AS lo, greatest(quantile_cont(x, 0.975), 5.0e0) AS hi FROM daily)"
+    out = []
+    for name, span in spans.items():
+        low, high = span[1:-1].split(", ")
+        terms = []
+        for k in range(4):
+            a, b = ("a", "b") if k == 0 else (f"lag(a, {k}) OVER (ORDER BY day)", f"lag(b, {k}) OVER (ORDER BY day)")
+            terms.append(f"({0.30 - 0.05 * k!r}) * {a} + ({-0.40 + 0.08 * k!r}) * {b}")
+        out.append(f"SELECT '{name}' AS component, {r('sum(af * y) / sum(CASE WHEN af IS NOT NULL THEN y END)', 'af')} FROM (SELECT y, 1 - exp(-({' + '.join(terms)})) AS af FROM (SELECT day, y, m / 10 - 0.5 AS a, m * m / 100 - 0.25 AS b FROM (SELECT day, y, CASE WHEN x < {low} OR x > {high} THEN 5.0e0 ELSE x END AS m FROM daily CROSS JOIN e)))")
+    return f"WITH {DAILY}, {edges} " + " UNION ALL ".join(out)
+
+
+@query("attribution_components", table_sql())
+def _components(spark, d):
+    out = attr.attribution_table(series.daily(spark, d), "x", "y", _CB, "day", CEN, coef=ETA, vcov=VAR, link="log")
+    return rounded(out, ["component"], ["af"])
+
+
 @query("attribution_case_matrix", f"WITH {DAILY}, c AS (SELECT x / 10 - 0.5 AS a, x * x / 100 - 0.25 AS b, (y + q + 2 * y + 1) / 4 AS cases FROM daily) SELECT {r('sum((1 - exp(-(0.9 * a - 1.12 * b))) * cases) / sum(cases)', 'af')} FROM c")
 def _matrix(spark, d):
     rows = series.daily(spark, d).withColumn("y2", 2 * F.col("y")).withColumn("one", F.lit(1.0))
@@ -575,6 +597,31 @@ def _cities(spark, d):
     return simulate_cities(spark, 3, 200)
 
 
+# recipes around the models ------------------------------------------------------------------------
+
+@query("risk_set_split", "WITH f AS (SELECT o_orderkey AS id, o_custkey AS cust, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders), s AS (SELECT cust, min(t) AS enter, max(t) AS leave FROM f GROUP BY 1 HAVING min(t) < max(t)), ev AS (SELECT DISTINCT t FROM f WHERE t % 200 = 0) SELECT ev.t AS riskset, count(*) AS at_risk, CAST(sum(CASE WHEN s.leave = ev.t THEN 1 ELSE 0 END) AS BIGINT) AS cases FROM ev JOIN s ON s.enter < ev.t AND ev.t <= s.leave GROUP BY 1")
+def _risk_sets(spark, d):
+    f = series.table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("t"))
+    follow = f.groupBy("cust").agg(F.min("t").alias("enter"), F.max("t").alias("leave")).filter("enter < leave")
+    sets = recipes.risk_sets(follow, "enter", "leave", f.filter("t % 200 = 0").select("t").distinct(), "t")
+    return sets.groupBy(F.col("t").cast("long").alias("riskset")).agg(F.count("*").alias("at_risk"), F.sum(F.col("case").cast("long")).alias("cases"))
+
+
+@query("climatology", f"WITH {DAILY} SELECT CAST(dayofyear(day) AS INTEGER) AS doy, {r('avg(x)', 'mean', 8)} FROM daily GROUP BY 1")
+def _climatology(spark, d):
+    return rounded(recipes.climatology(series.daily(spark, d), "day", "x"), ["doy"], ["mean"], 8)
+
+
+@query("weighted_zone_means", f"SELECT l_returnflag AS zone, {r('sum(l_discount * l_quantity) / sum(l_quantity)', 'mean', 8)} FROM lineitem GROUP BY 1")
+def _zones(spark, d):
+    return rounded(recipes.weighted_means(series.table(spark, d, "lineitem"), "l_returnflag", "l_discount", "l_quantity").withColumnRenamed("l_returnflag", "zone"), ["zone"], ["mean"], 8)
+
+
+@query("bias_correction", f"WITH {DAILY}, m AS (SELECT month(day) AS month, day, x, q FROM daily), c AS (SELECT month, avg(x) AS mo, avg(q) AS mm FROM m GROUP BY 1), a AS (SELECT m.month, x - mo AS o, row_number() OVER (PARTITION BY m.month ORDER BY x - mo, day) AS i FROM m JOIN c ON m.month = c.month), b AS (SELECT m.month, q - mm AS s, row_number() OVER (PARTITION BY m.month ORDER BY q - mm, day) AS i FROM m JOIN c ON m.month = c.month), k AS (SELECT a.month, sum(o * s) / sum(s * s) AS slope FROM a JOIN b ON a.month = b.month AND a.i = b.i GROUP BY 1) SELECT day, {r('mo + slope * (q - mm)', 'corrected')} FROM m JOIN c ON m.month = c.month JOIN k ON m.month = k.month")
+def _bias(spark, d):
+    return rounded(recipes.bias_corrected(series.daily(spark, d), "day", "x", "q"), ["day"], ["corrected"])
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Quasi-Poisson fit of the daily counts on the moving sum of the exposure over lags 0 to 7; its overall curve."""
     cb = cross_basis_of(GRID, 7, {"fun": "lin"})
