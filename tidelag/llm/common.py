@@ -33,10 +33,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables that this driver has stored so far; call it when the results that read them are consumed."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    _written.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

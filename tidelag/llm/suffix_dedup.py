@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ from .minhash import powers
 SPAN, GRAM = 400, 64
 #: Marks of the parse: minima of hashes of MARK bytes over REACH positions. Phrases by which the interleave is refined at most.
 REACH, MARK, DEPTH = 48, 8, 24
-#: Bytes of runs in one task, phrases in a shard, and runs of one key in one task.
-TASK_BYTES, SHARD, HOT = 2 << 20, 1 << 16, 2000
+#: Bytes of runs in one task and in one call of its merge, phrases in a shard, and runs of one key in one task.
+TASK_BYTES, POOL_BYTES, SHARD, HOT = 2 << 20, 1 << 20, 1 << 14, 2000
 
 _LETTER = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -277,8 +278,20 @@ def _checked(spanned: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
-        if held:
-            yield from pool(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        del held
+        table = table.take(np.argsort(np.asarray(table.column("key")), kind="stable")).combine_chunks()
+        key, size = np.asarray(table.column("key")), np.cumsum(np.asarray(pc.binary_length(table.column("run"))).astype(np.int64))
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        start = 0
+        while start < len(key):  # whole keys, near POOL_BYTES at once
+            before = size[start - 1] if start else 0
+            reach = int(np.searchsorted(size, before + POOL_BYTES))
+            stop = int(ends[min(np.searchsorted(ends, max(reach, start + 1)), len(ends) - 1)])
+            yield from pool(table.slice(start, stop - start).combine_chunks().to_batches()[0])
+            start = stop
 
     dealt = spanned.repartition(parts, "key", "part")
     return dealt.mapInArrow(run, "cls long, start long, stop long, mark long")
