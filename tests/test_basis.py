@@ -111,3 +111,15 @@ def test_wide_bases_take_the_batch_path(spark):
     rows = with_basis(df, "x", b).collect()
     np.testing.assert_allclose(np.array([r[1:] for r in rows[:-1]], float), b(X[:30]), atol=1e-9)
     assert rows[-1].b_b1 is None
+
+
+@pytest.mark.parametrize(("fun", "args"), SPECS)
+def test_specs_survive_json(fun, args):
+    from tidelag.functions.basis import dumps, loads
+
+    b = fit_basis(Data(X), fun, cen=2.0, **args)
+    again = loads(dumps(b))
+    at = np.r_[X[:20], -50, 50]
+    np.testing.assert_array_equal(again(at), b(at))
+    assert again.cen == 2.0
+    assert again.intercept == b.intercept

@@ -171,3 +171,24 @@ def test_criteria(df, spark):
     out = model_grid(spark, {"p": {"terms": ["a"]}, "q": {"terms": ["b"]}}, lambda terms: fit_glm(df, "y", terms), lambda f: f.deviance).collect()
     assert out[0].delta == 0
     assert out[1].delta > 0
+
+
+def test_strata_at_once_equal_strata_one_by_one():
+    from tidelag.operators.clogit import batch_terms
+
+    size, rows = np.array([3, 5, 4, 2, 6]), []
+    for n, m in zip(size, (1, 2, 1, 1, 3), strict=True):
+        rows.append(np.column_stack([np.r_[np.ones(m), np.zeros(n - m)], rng.normal(size=(n, 2))]))
+    beta = np.array([0.3, -0.2])
+    want = sum(np.concatenate([[ll], s, i.ravel()]) for ll, s, i in (stratum_terms(r[:, 0], r[:, 1:], beta) for r in rows))
+    got = batch_terms(np.vstack(rows), size, beta)
+    assert got[0] == 20
+    np.testing.assert_allclose(got[1:], want, atol=1e-10)
+
+
+def test_link_names():
+    from tidelag.operators.glm import link_of
+
+    assert link_of(Fit([], np.zeros(0), np.zeros((0, 0)), "logit")) == "logit"
+    assert link_of(type("M", (), {"link": "CLogLog"})()) == "cloglog"
+    assert link_of(object()) is None

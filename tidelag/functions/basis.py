@@ -6,6 +6,7 @@ same columns as numpy values and as SQL expressions.
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -292,6 +293,24 @@ def _cr(data: Data, df=10, knots=None, intercept=False, fx=False, S=None):
     return own, {"knots": t, "intercept": bool(intercept), "fx": bool(fx), "S": _penalty(S, D.T @ inner, intercept, fx), "df": own.columns}
 
 
+def dumps(basis: Basis) -> str:
+    """A fitted basis as JSON; not for functions of one's own."""
+    if basis.call is not None:
+        raise ValueError("a function of one's own can't be written")
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else list(v) if isinstance(v, tuple) else v
+    p = basis.pieces
+    spec = {"fun": basis.fun, "range": list(basis.range), "cen": basis.cen, "attrs": {k: plain(v) for k, v in basis.attrs.items()}}
+    return json.dumps(spec | ({"breaks": p.breaks.tolist(), "origin": p.origin.tolist(), "coef": p.coef.tolist()} if p is not None else {}))
+
+
+def loads(text: str) -> Basis:
+    """The basis that dumps wrote."""
+    s = json.loads(text)
+    array = lambda v: np.array(v, float) if isinstance(v, list) else v
+    p = Pieces(np.array(s["breaks"], float), np.array(s["origin"], float), np.array(s["coef"], float)) if "coef" in s else None
+    return Basis(s["fun"], p, {k: array(v) for k, v in s["attrs"].items()}, tuple(s["range"]), s["cen"])
+
+
 FITS: dict[str, Callable] = {"lin": _lin, "poly": _poly, "strata": _strata, "thr": _thr, "integer": _integer, "ns": _ns, "bs": _bs, "ps": _ps, "cr": _cr}
 #: Other spellings of arguments.
 ALIASES = {"type": "fun", "boundary_knots": "boundary", "boundary.knots": "boundary", "thr.value": "thr_value", "thr": "thr_value", "int": "intercept"}

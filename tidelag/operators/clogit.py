@@ -35,6 +35,37 @@ def stratum_terms(case: np.ndarray, x: np.ndarray, beta: np.ndarray) -> tuple[fl
     return float(eta[case == 1].sum() - m * top - np.log(f[m])), x[case == 1].sum(0) - mean, h[m] / f[m] - np.outer(mean, mean)
 
 
+def batch_terms(flat: np.ndarray, size: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Rows, log-likelihood, score and information summed over strata (rows of case, x one after another; size of each).
+
+    Strata with one case are summed at once; those with more go one by one.
+    """
+    p, start = flat.shape[1] - 1, np.cumsum(size) - size
+    y, x = flat[:, 0], flat[:, 1:]
+    cases = np.add.reduceat(y, start)
+    one = cases == 1
+    rows = np.repeat(one, size)
+    out = np.zeros(2 + p + p * p)
+    out[0] = len(flat)
+    if one.any():
+        xs, ys, n = x[rows], y[rows], size[one]
+        first = np.cumsum(n) - n
+        eta = xs @ beta
+        top = np.maximum.reduceat(eta, first)
+        u = np.exp(eta - np.repeat(top, n))
+        total = np.add.reduceat(u, first)
+        q = u / np.repeat(total, n)
+        mean = np.add.reduceat(xs * q[:, None], first, axis=0)
+        out[1] += (eta * ys).sum() - (top + np.log(total)).sum()
+        out[2 : 2 + p] += (xs * ys[:, None]).sum(0) - mean.sum(0)
+        out[2 + p :] += ((xs * q[:, None]).T @ xs - mean.T @ mean).ravel()
+    for i in np.flatnonzero(~one).tolist():
+        a = slice(start[i], start[i] + size[i])
+        ll, score, info = stratum_terms(y[a], x[a], beta)
+        out[1:] += np.concatenate([[ll], score, info.ravel()])
+    return out
+
+
 def fit_clogit(df: DataFrame, case: str, terms: list[str], stratum: str, tol: float = 1e-9, rounds: int = 50) -> Fit:
     """Rows with a missing value are dropped, then strata without a case or without a control.
 
@@ -51,10 +82,10 @@ def fit_clogit(df: DataFrame, case: str, terms: list[str], stratum: str, tol: fl
         def run(batches):
             out = np.zeros(2 + p + p * p)
             for batch in batches:
-                for m in batch.column("m").to_pylist():
-                    a = np.array(m)
-                    ll, score, info = stratum_terms(a[:, 0], a[:, 1:], beta)
-                    out += np.concatenate([[len(a), ll], score, info.ravel()])
+                if batch.num_rows:
+                    lists = batch.column("m")
+                    flat = np.asarray(lists.flatten().flatten(), float).reshape(-1, p + 1)
+                    out += batch_terms(flat, np.asarray(lists.value_lengths()).astype(np.int64), beta)
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["v"])
 
         v = np.sum([r.v for r in sets.mapInArrow(run, "v array<double>").collect()], axis=0)

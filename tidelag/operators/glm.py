@@ -71,6 +71,11 @@ class Fit:
     def se(self) -> np.ndarray:
         return np.sqrt(np.maximum(np.diag(self.vcov), 0))
 
+    def summary(self) -> str:
+        """A few lines of text."""
+        rows = "\n".join(f"{n:<24} {c: .6g} ({s:.3g})" for n, c, s in zip(self.names, self.coef, self.se, strict=True))
+        return f"{self.family}, {self.link} link, {self.nobs} rows, scale {self.scale:.4g}, deviance {self.deviance:.6g}\n{rows}"
+
     def frame(self, spark) -> DataFrame:
         """term, estimate, se."""
         return spark.createDataFrame([(n, float(c), float(s)) for n, c, s in zip(self.names, self.coef, self.se, strict=True)], "term string, estimate double, se double")
@@ -87,6 +92,12 @@ class Fit:
         return self.coef[at], self.vcov[np.ix_(at, at)]
 
 
+def link_of(model) -> str | None:
+    """Link of a fit, or of a model of one's own by its `link` text; compound names (cloglog) before those within them."""
+    text = str(getattr(model, "link", "") or "").lower()
+    return next((k for k in ("cloglog", "loglog", "logit", "probit", "log", "identity") if k in text), None)
+
+
 def with_terms(df: DataFrame, terms: list[str], intercept: bool = True) -> tuple[DataFrame, list[str]]:
     """df with double columns for the terms: names of numeric columns, or C(name) for dummies without the first level.
 
