@@ -30,7 +30,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 KINDS = ("article", "main", "section", "div", "p", "h", "list", "item", "table", "quote", "nav", "header", "footer", "aside", "form", "body", "text")
 #: Attribute tokens that speak for and against main text.
 GOOD = frozenset("article articlebody body content entry main page post story text prose single".split())
-BAD = frozenset("ad ads advert advertisement banner bar breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disqus feedback footer form gdpr header hidden legal login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
+BAD = frozenset("ad ads advert advertisement banner bar breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus feedback footer form gdpr header hidden legal login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond discussion reader".split())
 NOTICES = frozenset("ad ads advert advertisement banner consent cookie cookies gdpr notice promo sponsor sponsored popup modal newsletter subscribe".split())
 
@@ -215,7 +215,7 @@ def features(nodes: list[Node]) -> np.ndarray:
 class Trees:
     """Gradient-boosted regression trees on the logistic loss, split by histograms."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: int = 8) -> None:
+    def __init__(self, rounds: int = 60, depth: int = 5, rate: float = 0.3, bins: int = 32, least: int = 8) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -333,6 +333,9 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         tag = {"nav": pick("nav", "div", "nav"), "header": pick("header", "div"), "footer": pick("footer", "footer", "div"), "sidebar": pick("aside", "div"), "comments": pick("section", "div", "aside"), "form": "form"}.get(kind, pick("div", "div", "aside", "section"))
         names = {"nav": ("nav", "menu", "navbar", "breadcrumb", "navigation"), "header": ("header", "masthead", "site-header", "top-bar"), "footer": ("footer", "site-footer", "copyright"), "sidebar": ("sidebar", "widget", "related", "side-bar"), "ad": ("ad", "ads", "advert", "banner", "sponsored", "promo"), "notice": ("cookie", "cookie-notice", "notice", "consent", "gdpr", "newsletter", "popup"), "comments": ("comments", "comment-list", "reader-comments", "disqus", "replies"), "form": ("search", "login", "subscribe", "feedback"), "share": ("share", "social", "tags", "meta")}
         own = f' {pick("class", "class", "id")}="{pick(*names[kind])}"' if tag in ("div", "section") or rng.random() < 0.5 else ""
+        role = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search"}.get(kind)
+        if role and rng.random() < 0.12:
+            own = f' role="{role}"'
         if kind == "nav":
             inner = links(int(rng.integers(3, 10)))
         elif kind == "header":
@@ -352,7 +355,8 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     n = int(rng.integers(1, 14))
     main = []
     if rng.random() < 0.8:
-        main.append(block(pick("h1", "h1", "h2"), sentence(2, 9)))
+        title = block(pick("h1", "h1", "h2"), sentence(2, 9))
+        main.append(f"<header>{title}</header>" if rng.random() < 0.25 else title)
     for _ in range(n):
         turn = rng.random()
         if turn < 0.8:
@@ -367,15 +371,15 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             main.append("<table><tr>" + "".join(block("td", words(2)) for _ in range(3)) + "</tr></table>")
         if rng.random() < 0.06:
             main.append(boiler(pick("ad", "share", "notice", "form", "sidebar")))
-    shell = pick("<article>{}</article>", "<article>{}</article>", "<article class='post'>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="entry-content">{}</div></div>', '<section class="story">{}</section>', "<div>{}</div>", '<div class="wrapper"><article>{}</article></div>')
+    shell = pick("<article>{}</article>", "<article>{}</article>", '<div role="main">{}</div>', "<article class='post'>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="entry-content">{}</div></div>', '<section class="story">{}</section>', "<div>{}</div>", '<div class="wrapper"><article>{}</article></div>')
     before = [boiler(k) for k in ("header", "nav", "notice", "ad") if rng.random() < 0.55]
     after = [boiler(k) for k in ("share", "comments", "sidebar", "form", "ad", "nav", "notice", "footer") if rng.random() < (0.9 if k == "footer" else 0.35)]
-    inside = boiler("comments") if rng.random() < 0.15 else ""
+    inside = boiler("comments") if rng.random() < 0.15 else boiler("footer") if rng.random() < 0.1 else ""
     page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>" + "".join(before) + shell.format("".join(main) + inside) + "".join(after) + "</body></html>"
     return page, kept
 
 
-def trained(pages: int = 400, seed: int = 11) -> Trees:
+def trained(pages: int = 600, seed: int = 11) -> Trees:
     """Trees trained on generated pages: a node is main text if most of its characters are."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
