@@ -81,3 +81,20 @@ def test_lags_by_position_and_calendar(spark):
     assert [r.x_lags for r in with_lags(df, "x", "t", 1, packed=True).orderBy("t").collect()] == [[1, None], [2, 1], [3, 2]]
     days = spark.sql("SELECT DATE '2020-01-01' AS d, 1 AS v UNION ALL SELECT DATE '2020-01-04', 2")
     assert [r.v for r in filled_calendar(days, "d").orderBy("d").collect()] == [1, None, None, 2]
+
+
+@pytest.mark.parametrize("lag", [(0, 4), (-2, 3), (2, 5)])
+@pytest.mark.parametrize("groups", [None, "g"])
+def test_blocks_give_the_same(spark, lag, groups):
+    labels = ["a" if i % 3 else "b" for i in range(len(X))] if groups else None
+    df = frame(spark, X, labels).repartition(4)
+    cb = cross_basis_of(X, lag, {"fun": "poly", "degree": 2}, {"fun": "lin"})
+    one = with_cross_basis(df, "x", cb, "t", groups).orderBy("t").collect()
+    two = with_cross_basis(df, "x", cb, "t", groups, block_rows=7).orderBy("t").collect()
+    assert len(one) == len(two)
+    for a, b in zip(one, two, strict=True):
+        assert a[:3] == b[:3]
+        assert (a[3] is None) == (b[3] is None)
+        if a[3] is not None:
+            np.testing.assert_allclose(a[3:], b[3:], rtol=1e-12)
+    assert with_lags(df, "x", "t", lag, groups, block_rows=9).orderBy("t").collect() == with_lags(df, "x", "t", lag, groups).orderBy("t").collect()

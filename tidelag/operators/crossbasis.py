@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.basis import Basis, Column, Data, FITS, fit_basis, normalised, with_basis
 from ..functions.numeric import lag_range, lag_seq
 from ..functions.pieces import literal
-from .lags import check_groups, lag_sql, over
+from .lags import check_groups, in_blocks, lag_sql, over
 
 
 @dataclass(frozen=True)
@@ -83,18 +83,21 @@ def contraction(packed: str, weights: np.ndarray) -> str:
     return " + ".join(f"{packed}[{k}] * {literal(w)}" for k, w in enumerate(weights))
 
 
-def with_cross_basis(df: DataFrame, column: str, cb: CrossBasis, order_by: str, group: str | None = None, name: str = "cb", check: bool = True) -> DataFrame:
+def with_cross_basis(df: DataFrame, column: str, cb: CrossBasis, order_by: str, group: str | None = None, name: str = "cb", check: bool = True, block_rows: int | None = None) -> DataFrame:
     """df with the cross-basis columns; lags never cross groups. One window serves all columns.
 
-    Without a group the window has a single partition: meant for one aggregated series.
+    Without a group the window has a single partition: meant for one aggregated series. With block_rows,
+    series are cut into blocks of so many rows, each with the rows before it that its lags reach.
     """
     if check:
         check_groups(df, order_by, group, cb.lag)
     low, high = cb.lag
-    w, own = over(order_by, group), cb.var.names("__r")
-    rows = with_basis(df, column, cb.var, "__r")
+    w, own = over(order_by, group, bool(block_rows)), cb.var.names("__r")
+    source = in_blocks(df, order_by, group, cb.lag, block_rows) if block_rows else df
+    rows = with_basis(source, column, cb.var, "__r")
     packed = [F.expr(f"array({', '.join(lag_sql(r, k, w) for k in range(low, high + 1))})").alias(f"__q{i}") for i, r in enumerate(own)]
-    rows = rows.select(*df.columns, *packed)
+    rows = rows.select(*df.columns, *packed, *(["__own"] if block_rows else []))
+    rows = rows.where("__own") if block_rows else rows
     return _contracted(rows, df.columns, cb, name)
 
 

@@ -305,6 +305,15 @@ cross_query("crossbasis_thr_poly", cross_basis_of(GRID, 5, {"fun": "thr", "thr_v
 cross_query("crossbasis_strata_integer", cross_basis_of(GRID, (0, 3), {"fun": "strata", "breaks": [5.017]}, {"fun": "integer"}), ["CASE WHEN x >= 5.017e0 THEN 1.0e0 ELSE 0.0e0 END"], np.eye(4))
 cross_query("crossbasis_lags_from_two", cross_basis_of(GRID, (2, 6), {"fun": "lin"}, {"fun": "lin"}), ["x"], np.column_stack([np.ones(5), np.arange(2.0, 7.0)]))
 cross_query("crossbasis_grouped", cross_basis_of(GRID, 5, {"fun": "poly", "degree": 2}, {"fun": "lin"}), ["x / 8", "power(x / 8, 2)"], np.column_stack([np.ones(6), _k5]), True)
+
+
+@query("crossbasis_blocked", SQL["crossbasis_grouped"])
+def _blocked(spark, d):
+    cb = cross_basis_of(GRID, 5, {"fun": "poly", "degree": 2}, {"fun": "lin"})
+    rows = with_cross_basis(series.daily_grouped(spark, d), "x", cb, "day", "g", block_rows=500)
+    return rounded(rows, ["g", "day"], cb.names())
+
+
 _clamped = f"least(greatest(x, {LOW}e0), {HIGH}e0)"
 _cbn = cross_basis_of(GRID, 7, {"fun": "ns", "knots": [4.5, 5.5], "boundary": (LOW, HIGH)}, {"fun": "poly", "degree": 1})
 
