@@ -164,17 +164,20 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v and root (the smallest vertex reachable) of every vertex of the edges a, b: large-star and small-star steps."""
+    """v and root (the smallest vertex reachable) of every vertex of the edges a, b: large-star and small-star steps.
+
+    Minima are stored before they are joined, so that Spark can split a hub's rows in the join.
+    """
     edges = stored(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct(), "links")
     seen = None
     while True:
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").unionByName(edges.join(low, "u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        large = stored(large, "links-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v")).filter("u <> v").distinct()
-        edges = stored(small, "links-small")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "links-low")
+        large = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").unionByName(edges.join(low, "u").select("u", F.col("m").alias("v")))
+        large = stored(large.filter("u <> v").distinct(), "links-large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
+        small = large.join(low, "u").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v"))
+        edges = stored(small.filter("u <> v").distinct(), "links-small")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break
@@ -355,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("cid", "rep").join(comps.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "root").select("cid", "component_id")
+    named = stored(named.join(lowest, "root").select("cid", "component_id"), "minhash-named")
     out = rows.select("id", "n", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

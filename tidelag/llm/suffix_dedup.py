@@ -352,7 +352,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = hits.filter("mark IS NULL").select("cls", "start", "stop").unionByName(late)
     cut = _cut(texts, spans)
     whole = classes.filter("copies > 1").select("cls", F.array(F.lit(0).cast("long"), F.col("n_bytes")).alias("spans"), F.col("n_bytes").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha"))
-    done = cut.unionByName(whole)
+    done = stored(cut.unionByName(whole), "suffix-done")
     out = rows.drop("keys").join(done, "cls", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).alias("spans"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", F.lower(F.hex("sha"))).alias("kept_sha256"))
 
