@@ -164,10 +164,11 @@ def fitted(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.nd
     return w, bias
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float = 0.3) -> DataFrame:
     """id_col, label (the weak posterior of good), score (of the trained scorer) and kept of each row.
 
     At most about `sample` rows, chosen by a hash of their text, train the scorer; their features go to the driver.
+    A document goes only if bad is clearly the likelier, hence a cut below one half.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
