@@ -48,10 +48,13 @@ class Column(Data):
         kind = df.schema[column].dataType.simpleString()
         x = F.explode(F.col(column)) if kind.startswith("array") else F.col(column)
         self.rows = df.select(x.cast("double").alias("x")).select(F.nanvl("x", F.lit(None)).alias("x"))
+        self.ends: tuple[float, float] | None = None
 
     def range(self) -> tuple[float, float]:
-        r = self.rows.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
-        return (np.nan, np.nan) if r.a is None else (r.a, r.b)
+        if self.ends is None:
+            r = self.rows.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+            self.ends = (np.nan, np.nan) if r.a is None else (r.a, r.b)
+        return self.ends
 
     def quantiles(self, probs, within=None, unique=False) -> np.ndarray:
         rows = self.rows if within is None else self.rows.filter((F.col("x") >= within[0]) & (F.col("x") <= within[1]))
