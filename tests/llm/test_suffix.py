@@ -43,7 +43,7 @@ def test_rows(docs, rows, empty):
     assert s.repeated_spans(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
+@pytest.mark.parametrize("hot", [2000, 3, 1])
 def test_shared_passages_in_many_documents(spark, monkeypatch, hot):
     monkeypatch.setattr(s, "HOT", hot)
     r = random.Random(4)

@@ -124,26 +124,32 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def named(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit names of each set, from sums over its members."""
+    n, out = np.diff(off), []
+    for salt in (np.uint64(0), np.uint64(0xA0761D6478BD642F)):
+        total = np.zeros(len(n), np.uint64)
+        if (n > 0).any():
+            total[n > 0] = np.add.reduceat(mix64(h ^ salt), off[:-1][n > 0])
+        out.append(mix64(total + n.astype(np.uint64)).view(np.int64))
+    return out
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, cid and cid2 (128 bits that name the set, null if empty), n (its size) and sig of each row."""
+    """id, h1 and h2 (128 bits that name the set, null if empty), n (its size) and sig of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> dict:
         h, off = shingles(*flat(batch.column("text")))
         n = np.diff(off)
         full = n > 0
-        names = []
-        for salt in (np.uint64(0), np.uint64(0xA0761D6478BD642F)):
-            total = np.zeros(len(n), np.uint64)
-            if full.any():
-                total[full] = np.add.reduceat(mix64(h ^ salt), off[:-1][full])
-            names.append(pa.array(mix64(total + n.astype(np.uint64)).view(np.int64), mask=~full))
+        names = [pa.array(x, mask=~full) for x in named(h, off)]
         sig, rows = signatures(h, off), [None] * len(n)
         for i, x in zip(np.flatnonzero(full).tolist(), sig, strict=True):
             rows[i] = x.tobytes()
-        return {"id": batch.column("id"), "cid": names[0], "cid2": names[1], "n": n, "sig": rows}
+        return {"id": batch.column("id"), "h1": names[0], "h2": names[1], "n": n, "sig": rows}
 
-    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, cid long, cid2 long, n long, sig binary")
+    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, h1 long, h2 long, n long, sig binary")
 
 
 def low_bytes(column: str):
@@ -201,6 +207,12 @@ def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         x, y = x[rest], y[rest]
 
 
+def _and_none(batches):
+    """The batches, and None at the end."""
+    yield from batches
+    yield None
+
+
 def blocks_of(members: DataFrame, by: str, block: int, size: str = "size") -> DataFrame:
     """Members with salt, bi and bj: groups of `by` above `block` rows are cut, and every pair of parts meets once."""
     cut = members.withColumn("parts", F.ceil(F.col(size) / block).cast("int")).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
@@ -313,35 +325,24 @@ def _linked(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sets_of(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cid and items (the set) of the classes in need (cid, rep)."""
+    """cid and items (the set) of the classes in need (cid, rep, h1, h2)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(need.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    rows = rows.join(need.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("cid", "h1", "h2", "text")
 
     def kernel(batch: pa.RecordBatch) -> dict:
         h, off = shingles(*flat(batch.column("text")))
-        n = np.diff(off)
-        total = np.zeros(len(n), np.uint64)
-        if (n > 0).any():
-            total[n > 0] = np.add.reduceat(mix64(h), off[:-1][n > 0])
-        own = mix64(total + n.astype(np.uint64)).view(np.int64)
-        return {"cid": batch.column("cid"), "own": own, "items": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))}
-
-    return per_slice(rows, "text", kernel, "cid long, own long, items array<long>").filter("cid = own").drop("own").dropDuplicates(["cid"])
+        one, two = named(h, off)
+        same = (one == np.asarray(batch.column("h1"))) & (two == np.asarray(batch.column("h2")))
+        return {"cid": batch.column("cid"), "same": same, "items": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))}
 
-
-def _and_none(batches):
-    yield from batches
-    yield None
+    return per_slice(rows, "text", kernel, "cid long, same boolean, items array<long>").filter("same").drop("same").dropDuplicates(["cid"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id reachable over links) and kept of each row."""
     rows = stored(signed(docs, id_col, text_col), "minhash-rows")
-    classes = rows.filter("n > 0").groupBy("cid").agg(F.min("cid2").alias("low"), F.max("cid2").alias("high"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes, "minhash-classes")
-    if classes.filter("low <> high").limit(1).count():  # odds of n * n / 2**65
-        raise ValueError("two different sets share 64 bits of their names: change the seed")
-    classes = classes.drop("low", "high")
+    classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")  # numbers that stay as they are written
 
     keys = keyed(classes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
@@ -352,15 +353,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     loose = stored(loose.select(F.col("v").alias("cid"), "root"), "minhash-clusters")
     sizes = loose.groupBy("root").agg(F.count("*").alias("size"))
-    need = stored(loose.join(classes.select("cid", "rep"), "cid").select("cid", "rep"), "minhash-need")
+    need = stored(loose.join(classes, "cid").select("cid", "rep", "h1", "h2"), "minhash-need")
     sets = sets_of(docs, need, id_col, text_col).join(loose, "cid").join(sizes, "root")
     comps = stored(components(grouped(blocks_of(sets, "root", BLOCK), "root", ("cid", "salt", "items"), _linked)), "minhash-comps")
 
-    named = classes.select("cid", "rep").join(comps.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(lowest, "root").select("cid", "component_id"), "minhash-named")
-    out = rows.select("id", "n", "cid").join(named, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    final = classes.select("cid", "rep", "h1", "h2").join(comps.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    lowest = final.groupBy("root").agg(F.min("rep").alias("component_id"))
+    final = stored(final.join(lowest, "root").select("h1", "h2", "component_id"), "minhash-final")
+    out = rows.select("id", "n", "h1", "h2").join(final, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

@@ -13,7 +13,7 @@
    phrases; an exact check of the windows' own hashes follows. Keys with very many runs are dealt over several
    tasks; windows that are alone in theirs meet those of the others by hash.
 
-Hashes have 64 bits; names of texts are checked for collisions.
+Windows are compared by 64-bit hashes among those of one key; texts are named by their whole SHA-256.
 
 Defined results: null or empty texts have no bytes; matches never cross documents; repeated
 rows are copies of each other; an empty table gives an empty result; other columns are ignored.
@@ -182,8 +182,8 @@ def longest_repeats(strings: np.ndarray, most: int, shard: int = SHARD) -> np.nd
     return out
 
 
-def candidates(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Places of windows in the runs (texts in data) whose inner phrases occur elsewhere too."""
+def candidates(data: np.ndarray, off: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
+    """Places of windows in the runs (texts in data) whose inner phrases occur elsewhere too, and all of the runs in every."""
     hashes = Hashes(data)
     size = np.maximum(np.diff(off) - SPAN + 1, 0)
     place = np.arange(int(size.sum())) + np.repeat(off[:-1] - (np.cumsum(size) - size), size)
@@ -203,11 +203,11 @@ def candidates(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     repeat = longest_repeats(phrase, int(max(need.max(), 1)) if len(place) else 1)
     ok = need <= 0
     ok[~ok] = repeat[first[~ok]] >= need[~ok]
-    return place[ok]
+    return place[ok if every is None else ok | np.repeat(every, size)]
 
 
 def _summary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_bytes, sha, cls (its first 64 bits) and keys (of its windows) of each row."""
+    """id, n_bytes, sha and keys (of its windows) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -217,9 +217,9 @@ def _summary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         key, doc = keys_of_texts(data, off)
         ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sha)))])
         keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
-        return {"id": batch.column("id"), "n_bytes": np.diff(off), "sha": sha, "cls": np.array([int.from_bytes(x[:8], "little", signed=True) for x in sha], np.int64), "keys": keys}
+        return {"id": batch.column("id"), "n_bytes": np.diff(off), "sha": sha, "keys": keys}
 
-    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, n_bytes long, sha binary, cls long, keys array<long>", 1 << 20)
+    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, n_bytes long, sha binary, keys array<long>", 1 << 20)
 
 
 def _spanned(texts: DataFrame) -> DataFrame:
@@ -243,19 +243,19 @@ def _spanned(texts: DataFrame) -> DataFrame:
 
 
 def _checked(spanned: DataFrame, parts: int) -> DataFrame:
-    """cls, start, stop of repeated bytes; of hot keys also mark, the hash of a window to be met with those of other tasks."""
-    names = ("cls", "start", "stop", "mark")
+    """cls, start, stop of repeated bytes; of hot keys also key and mark, the hash of a window to be met with those of other tasks."""
+    names = ("cls", "start", "stop", "key", "mark")
 
-    def rows(cls, start, stop, mark) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(start), pa.array(stop), mark], list(names))
+    def rows(cls, start, stop, key, mark) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(start), pa.array(stop), key, mark], list(names))
 
     def pool(batch: pa.RecordBatch):
         data, off = flat(batch.column("run"))
-        place = candidates(data, off)
+        place = candidates(data, off, np.asarray(batch.column("hot")))  # what is alone here may be met elsewhere
         if not len(place):
             return
         run = np.searchsorted(off, place, "right") - 1
-        cls, at, single, hot = (np.asarray(batch.column(c))[run] for c in ("cls", "at", "single", "hot"))
+        cls, at, single, hot, key = (np.asarray(batch.column(c))[run] for c in ("cls", "at", "single", "hot", "key"))
         hashed = Hashes(data).of(place, SPAN)
         _, back, count = np.unique(hashed, return_inverse=True, return_counts=True)
         at = at + place - off[run]
@@ -263,18 +263,16 @@ def _checked(spanned: DataFrame, parts: int) -> DataFrame:
         if len(good):
             turn = np.flatnonzero((run[good][1:] != run[good][:-1]) | (at[good][1:] != at[good][:-1] + 1)) + 1
             first, last = good[np.concatenate([[0], turn])], good[np.concatenate([turn, [len(good)]]) - 1]
-            yield rows(cls[first], at[first], at[last] + SPAN, pa.nulls(len(first), pa.int64()))
-        met = np.zeros(len(count), bool)
-        alone = np.flatnonzero(hot & ((count[back] == 1) | ~single))
+            none = pa.nulls(len(first), pa.int64())
+            yield rows(cls[first], at[first], at[last] + SPAN, none, none)
         if hot.any():
+            alone = np.flatnonzero(hot & (count[back] == 1))
             again = np.flatnonzero(hot & (count[back] > 1))
-            met[back[again]] = True
             some = np.unique(back[again], return_index=True)[1]
             some = again[some]  # one for each hash that was found twice here
-            yield rows(cls[some], np.full(len(some), -1), np.full(len(some), -1), pa.array(hashed[some].view(np.int64)))
-            alone = alone[count[back[alone]] == 1]
+            yield rows(cls[some], np.full(len(some), -1), np.full(len(some), -1), pa.array(key[some]), pa.array(hashed[some].view(np.int64)))
             start = np.where(single[alone], at[alone], -1)
-            yield rows(cls[alone], start, start + SPAN, pa.array(hashed[alone].view(np.int64)))
+            yield rows(cls[alone], start, start + SPAN, pa.array(key[alone]), pa.array(hashed[alone].view(np.int64)))
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -294,7 +292,7 @@ def _checked(spanned: DataFrame, parts: int) -> DataFrame:
             start = stop
 
     dealt = spanned.repartition(parts, "key", "part")
-    return dealt.mapInArrow(run, "cls long, start long, stop long, mark long")
+    return dealt.mapInArrow(run, "cls long, start long, stop long, key long, mark long")
 
 
 def _cut(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -329,41 +327,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id_col, n_bytes, spans (start and stop of each removed run, flat), n_removed and kept_sha256 of each row."""
     spark = docs.sparkSession
     rows = stored(_summary(docs, id_col, text_col), "suffix-rows")
-    classes = rows.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"), F.min("sha").alias("low"), F.max("sha").alias("high"))
-    classes = stored(classes.filter(f"n_bytes >= {SPAN}"), "suffix-classes")
-    if classes.filter("low <> high").limit(1).count():  # odds of n * n / 2**65
-        raise ValueError("two different texts share 64 bits of their names")
+    classes = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"))
+    classes = stored(classes.filter(f"n_bytes >= {SPAN}").withColumn("cls", F.monotonically_increasing_id()), "suffix-classes")  # numbers that stay as they are written
     anchors = classes.select("cls", F.explode("keys").alias("key"))
     twice = anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     found = anchors.distinct().join(twice, "key").groupBy("cls").agg(F.collect_list(F.struct("key", "n")).alias("found"))
-    found = found.join(classes.select("cls", "copies", "rep"), "cls").select(F.col("cls").alias("want"), "rep", (F.col("copies") == 1).alias("single"), "found")
+    found = found.join(classes.select("cls", "sha", "copies", "rep"), "cls").select("cls", "sha", "rep", (F.col("copies") == 1).alias("single"), "found")
     found = stored(found, "suffix-found")
     total = found.select(F.sum(F.size("found"))).first()[0] or 0
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = named.join(found, F.col("id").eqNullSafe(F.col("rep"))).withColumn("cls", _name_of("text"))
-    texts = stored(texts.filter("cls = want").drop("id", "rep", "want").dropDuplicates(["cls"]), "suffix-texts")
+    texts = named.join(found, F.col("id").eqNullSafe(F.col("rep"))).filter(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("sha"))
+    texts = stored(texts.drop("id", "rep", "sha").dropDuplicates(["cls"]), "suffix-texts")
 
     parts = max(spark.sparkContext.defaultParallelism, int(total * 600 // TASK_BYTES) + 1)
     hits = stored(_checked(_spanned(texts), parts), "suffix-hits")
     meet = hits.filter("mark IS NOT NULL")
-    both = meet.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
-    late = meet.filter("start >= 0").join(both, "mark").select("cls", "start", "stop")
+    both = meet.groupBy("key", "mark").agg(F.count("*").alias("n")).filter("n > 1")
+    late = meet.filter("start >= 0").join(both, ["key", "mark"]).select("cls", "start", "stop")
     spans = hits.filter("mark IS NULL").select("cls", "start", "stop").unionByName(late)
     cut = _cut(texts, spans)
     whole = classes.filter("copies > 1").select("cls", F.array(F.lit(0).cast("long"), F.col("n_bytes")).alias("spans"), F.col("n_bytes").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha"))
-    done = stored(cut.unionByName(whole), "suffix-done")
-    out = rows.drop("keys").join(done, "cls", "left")
+    done = stored(cut.unionByName(whole).join(classes.select("cls", "sha"), "cls").drop("cls"), "suffix-done")
+    out = rows.drop("keys").join(done, "sha", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).alias("spans"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", F.lower(F.hex("sha"))).alias("kept_sha256"))
 
 
-def _name_of(text: str):
-    """cls of a text column: the first eight bytes of its SHA-256, low byte first, as a signed number."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    swapped = F.concat(*[F.substring(digest, 15 - 2 * k, 2) for k in range(8)])
-    return F.conv(swapped, 16, -10).cast("long")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: repeated bytes of all documents."""
     out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
