@@ -223,56 +223,76 @@ def _summary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _spanned(texts: DataFrame) -> DataFrame:
-    """key, part, hot, cls, single, at (of the first window) and run (its text) of each run whose key is listed."""
+    """key, part, parts (over which its runs are dealt), cls, single, at (of the first window) and run (its text) of each run whose key is listed."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         data, off = flat(batch.column("text"))
         key, doc, first, last = runs(data, off)
         raw, cls, single = data.tobytes(), np.asarray(batch.column("cls")), batch.column("single").to_pylist()
         sizes = [{k["key"]: k["n"] for k in row} for row in batch.column("found").to_pylist()]
-        out: dict = {c: [] for c in ("key", "part", "hot", "cls", "single", "at", "run")}
+        out: dict = {c: [] for c in ("key", "part", "parts", "cls", "single", "at", "run")}
         for k, d, a, b in zip(key.view(np.int64).tolist(), doc.tolist(), first.tolist(), last.tolist(), strict=True):
             n = sizes[d].get(k)
             if n:
                 parts, at = -(-n // HOT), a - int(off[d])
-                for c, v in zip(out, (k, (int(cls[d]) ^ (at * 40503)) % parts, parts > 1, int(cls[d]), single[d], at, raw[a : b + SPAN]), strict=True):
+                for c, v in zip(out, (k, (int(cls[d]) * 7919 ^ at * 40503) % parts, parts, int(cls[d]), single[d], at, raw[a : b + SPAN]), strict=True):
                     out[c].append(v)
         return out
 
-    return per_slice(texts, "text", kernel, "key long, part int, hot boolean, cls long, single boolean, at long, run binary", 1 << 20)
+    return per_slice(texts, "text", kernel, "key long, part int, parts int, cls long, single boolean, at long, run binary", 1 << 20)
 
 
-def _checked(spanned: DataFrame, parts: int) -> DataFrame:
-    """cls, start, stop of repeated bytes; of hot keys also key and mark, the hash of a window to be met with those of other tasks."""
-    names = ("cls", "start", "stop", "key", "mark")
+HITS = pa.schema([("cls", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+
+
+def _rows(cls, start, stop, key=None, bucket=None, packed=None) -> pa.RecordBatch:
+    cols = (cls, start, stop, key, bucket, packed)
+    n = len(next(c for c in cols if c is not None))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, HITS, strict=True)], schema=HITS)
+
 
-    def rows(cls, start, stop, key, mark) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(start), pa.array(stop), key, mark], list(names))
+def _merged_starts(cls: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of the bytes that windows cover, neighbouring windows as one."""
+    order = np.lexsort((at, cls))
+    cls, at = cls[order], at[order]
+    turn = np.flatnonzero((cls[1:] != cls[:-1]) | (at[1:] > at[:-1] + SPAN)) + 1
+    first, last = np.concatenate([[0], turn]), np.concatenate([turn, [len(cls)]]) - 1
+    return _rows(cls[first], at[first], at[last] + SPAN)
+
+
+def _checked(spanned: DataFrame, parts: int) -> DataFrame:
+    """cls, start, stop of repeated bytes; and of keys dealt over several tasks the windows that may be met by those of
+    other tasks, packed by key and bucket: hash, cls and place (-1 where only the hash matters) of each."""
 
     def pool(batch: pa.RecordBatch):
         data, off = flat(batch.column("run"))
-        place = candidates(data, off, np.asarray(batch.column("hot")))  # what is alone here may be met elsewhere
+        dealt = np.asarray(batch.column("parts"))
+        place = candidates(data, off, dealt > 1)  # what is alone here may be met elsewhere
         if not len(place):
             return
         run = np.searchsorted(off, place, "right") - 1
-        cls, at, single, hot, key = (np.asarray(batch.column(c))[run] for c in ("cls", "at", "single", "hot", "key"))
+        cls, at, single, key = (np.asarray(batch.column(c))[run] for c in ("cls", "at", "single", "key"))
         hashed = Hashes(data).of(place, SPAN)
         _, back, count = np.unique(hashed, return_inverse=True, return_counts=True)
         at = at + place - off[run]
-        good = np.flatnonzero((count[back] > 1) & single)
-        if len(good):
-            turn = np.flatnonzero((run[good][1:] != run[good][:-1]) | (at[good][1:] != at[good][:-1] + 1)) + 1
-            first, last = good[np.concatenate([[0], turn])], good[np.concatenate([turn, [len(good)]]) - 1]
-            none = pa.nulls(len(first), pa.int64())
-            yield rows(cls[first], at[first], at[last] + SPAN, none, none)
-        if hot.any():
-            alone = np.flatnonzero(hot & (count[back] == 1))
-            again = np.flatnonzero(hot & (count[back] > 1))
-            some = np.unique(back[again], return_index=True)[1]
-            some = again[some]  # one for each hash that was found twice here
-            yield rows(cls[some], np.full(len(some), -1), np.full(len(some), -1), pa.array(key[some]), pa.array(hashed[some].view(np.int64)))
-            start = np.where(single[alone], at[alone], -1)
-            yield rows(cls[alone], start, start + SPAN, pa.array(key[alone]), pa.array(hashed[alone].view(np.int64)))
+        good = (count[back] > 1) & single
+        if good.any():
+            yield _merged_starts(cls[good], at[good])
+        open_ = dealt[run] > 1
+        if open_.any():
+            again = np.flatnonzero(open_ & (count[back] > 1))
+            again = again[np.unique(back[again], return_index=True)[1]]  # one for each hash that was found twice here
+            alone = np.flatnonzero(open_ & (count[back] == 1))
+            pick = np.concatenate([again, alone])
+            spot = np.concatenate([np.full(len(again), -1), np.where(single[alone], at[alone], -1)])
+            bucket = (hashed[pick] % dealt[run][pick].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((bucket, key[pick]))
+            pick, spot, bucket = pick[order], spot[order], bucket[order]
+            k = key[pick]
+            ends = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (bucket[1:] != bucket[:-1])) + 1, [len(k)]])
+            table = np.stack([hashed[pick].view(np.int64), cls[pick], spot], 1)
+            first = ends[:-1]
+            yield _rows(None, None, None, k[first], bucket[first], [table[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -292,7 +312,30 @@ def _checked(spanned: DataFrame, parts: int) -> DataFrame:
             start = stop
 
     dealt = spanned.repartition(parts, "key", "part")
-    return dealt.mapInArrow(run, "cls long, start long, stop long, key long, mark long")
+    return dealt.mapInArrow(run, "cls long, start long, stop long, key long, bucket int, packed binary")
+
+
+def _met(hits: DataFrame, parts: int) -> DataFrame:
+    """cls, start, stop of windows that are alone in their tasks but not over all of them."""
+
+    def run(batches):
+        tables, keys = [], []
+        for batch in batches:
+            for key, packed in zip(batch.column("key").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                tables.append(np.frombuffer(packed, np.int64).reshape(-1, 3))
+                keys.append(np.full(len(tables[-1]), key))
+        if not tables:
+            return
+        whole, key = np.concatenate(tables), np.concatenate(keys)
+        order = np.lexsort((whole[:, 0], key))
+        whole, key = whole[order], key[order]
+        same = (key[1:] == key[:-1]) & (whole[1:, 0] == whole[:-1, 0])
+        good = (np.append(same, False) | np.insert(same, 0, False)) & (whole[:, 2] >= 0)
+        if good.any():
+            out = _merged_starts(whole[good, 1], whole[good, 2])
+            yield pa.RecordBatch.from_arrays(out.columns[:3], ["cls", "start", "stop"])
+
+    return hits.select("key", "bucket", "packed").repartition(parts, "key", "bucket").mapInArrow(run, "cls long, start long, stop long")
 
 
 def _cut(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -342,10 +385,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = max(spark.sparkContext.defaultParallelism, int(total * 600 // TASK_BYTES) + 1)
     hits = stored(_checked(_spanned(texts), parts), "suffix-hits")
-    meet = hits.filter("mark IS NOT NULL")
-    both = meet.groupBy("key", "mark").agg(F.count("*").alias("n")).filter("n > 1")
-    late = meet.filter("start >= 0").join(both, ["key", "mark"]).select("cls", "start", "stop")
-    spans = hits.filter("mark IS NULL").select("cls", "start", "stop").unionByName(late)
+    spans = hits.filter("packed IS NULL").select("cls", "start", "stop").unionByName(_met(hits.filter("packed IS NOT NULL"), parts))
     cut = _cut(texts, spans)
     whole = classes.filter("copies > 1").select("cls", F.array(F.lit(0).cast("long"), F.col("n_bytes")).alias("spans"), F.col("n_bytes").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha"))
     done = stored(cut.unionByName(whole).join(classes.select("cls", "sha"), "cls").drop("cls"), "suffix-done")
