@@ -355,7 +355,7 @@ def one_basis(rows: DataFrame, column: str, fun: str | Callable = "ns", cen: Any
 
 
 #: Formulas (columns times pieces) above which a basis is evaluated in Arrow batches: their code would be too large to compile.
-WIDE = 150
+WIDE = 60
 
 
 def with_basis(df: DataFrame, column: str, basis: Basis, name: str = "b") -> DataFrame:
