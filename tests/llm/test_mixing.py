@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from brute import WORD
 
@@ -60,3 +62,47 @@ def test_stage_repeats_documents(docs, spark, empty):
     for r in out.groupBy("doc_id").count().collect():
         assert took[r.doc_id] > 0
     assert mixing.stage(spark, empty, "").count() == 0
+
+
+def test_written_mix(docs, rows):
+    mixed, placed = (df.collect() for df in mixing.deal(docs, block_words=4, shards=8))
+    assert len({(m.shard, m.slot) for m in mixed}) == len(mixed)
+    for k in range(8):
+        assert sorted(m.slot for m in mixed if m.shard == k) == list(range(sum(m.shard == k for m in mixed)))
+    last = {s: max(m.blk for m in mixed if m.src == s) for s in {m.src for m in mixed}}
+    whole: dict = {}
+    for m in mixed:
+        found = [len(WORD.findall(p.text)) for p in m.parts]
+        assert found == [p.w for p in m.parts]
+        assert sum(found) == m.words
+        assert m.words == 4 or (m.blk == last[m.src] and 0 < m.words < 4)
+        for p in m.parts:
+            whole.setdefault((m.source, m.src, p.start, p.id, m.turn), {})[m.blk] = p.text
+    full = Counter((s, i, "".join(t for _, t in sorted(parts.items()))) for (s, _, _, i, turn), parts in whole.items() if turn == 0)
+    given = Counter((r[3], r[0], r[1]) for r in rows)
+    sources = {s for s in {r[3] for r in rows} if all(full[k] == n for k, n in given.items() if k[0] == s and WORD.findall(k[2] or ""))}
+    passes = {m.source for m in mixed if m.turn > 0}
+    assert passes
+    assert passes <= sources
+    got = Counter()
+    for m in mixed:
+        for p in m.parts:
+            got[str(p.id)] += p.w
+    want = Counter()
+    for r in mixing.mix(docs, block_words=4, shards=8).collect():
+        want[str(r.doc_id)] += r.taken
+    assert +want == +got
+    assert len(placed) == len(rows)
+
+
+def test_stage_takes_the_words_of_the_mix(docs, rows, spark):
+    got = mixing.stage(spark, docs, "").collect()
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[str(r.doc_id)] += r.taken
+    words = Counter()
+    for r in got:
+        words[str(r.doc_id)] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert words == +want
+    assert any(r.text == t for r in got for _, t, *_ in rows)

@@ -5,6 +5,7 @@ of its documents. Every output shard draws its source counts from a multinomial
 over what each source still has to give, so that the totals meet the targets.
 A slot's number within its source is mapped by a pseudorandom permutation of the
 source's blocks (a new one for each pass over them), and blocks are joined to slots by index.
+The mix is written with the blocks' texts, a row per slot; what is counted is counted there.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source
 is a source of its own, last in order; repeated rows are rows of their own; an empty
@@ -13,12 +14,15 @@ table gives an empty result; other columns of any name are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import flat, fresh, mix64, per_slice, stored, sums, word_starts
+from .common import flat, mix64, per_slice, slices, small_batches, stored, sums, word_starts
 
 #: Of a source's documents, so many on average share a bucket; positions are summed by bucket first.
 BUCKET_DOCS = 1024
@@ -72,25 +76,52 @@ def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, size in words and a hash that orders rows of one id."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    df = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, rest: Sequence[str] = (), with_text: bool = False) -> DataFrame:
+    """id, source, a hash that orders rows of one id, columns of rest as r0, r1, ..., the text if asked for, and size in words."""
+    others = [F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)]
+    df = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h"), *others, F.col(text_col).alias("text"))
+    names = [c for c in df.columns if with_text or c != "text"]
+    small_batches(docs.sparkSession)
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        data, off = flat(batch.column("text"))
-        return {"id": batch.column("id"), "source": batch.column("source"), "h": batch.column("h"), "size": sums(word_starts(data, off), off)}
+    def run(batches):
+        for batch in slices(batches, "text"):
+            data, off = flat(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sums(word_starts(data, off), off), pa.int64())], [*names, "size"])
 
-    return per_slice(df, "text", kernel, f"id {id_type}, source string, h long, size long")
+    return df.mapInArrow(run, StructType([*[df.schema[c] for c in names], StructField("size", LongType())]))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, block_words: int = 256, shards: int = 64, seed: int = 17) -> DataFrame:
-    """One row per row of docs: id_col, size, source, source_size, target, taken.
+def pieces_of(placed: DataFrame, block_words: int) -> DataFrame:
+    """Texts (size over 0) cut where blocks begin: src, blk, start of the text in its source, id, w words and their bytes; pieces of a text make it up."""
+    id_type = placed.schema["id"].dataType.simpleString()
 
+    def kernel(batch: pa.RecordBatch) -> dict:
+        data, off = flat(batch.column("text"))
+        begins = np.flatnonzero(word_starts(data, off))
+        size, start = np.asarray(batch.column("size")), np.asarray(batch.column("start"))
+        low = start // block_words
+        n = (start + size - 1) // block_words - low + 1
+        row = np.repeat(np.arange(len(n)), n)
+        blk = low[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        word = np.maximum(blk * block_words - start[row], 0)
+        cuts = np.where(word == 0, off[:-1][row], begins[(np.cumsum(size) - size)[row] + word])
+        text = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(np.append(cuts, off[-1]).astype(np.int64)), pa.py_buffer(data))
+        w = np.minimum((start + size)[row], (blk + 1) * block_words) - np.maximum(start[row], blk * block_words)
+        return {"src": batch.column("src").take(pa.array(row)), "blk": blk, "start": start[row], "id": batch.column("id").take(pa.array(row)), "w": w, "text": text}
+
+    return per_slice(placed.select("src", "start", "size", "id", "text"), "text", kernel, f"src int, blk long, start long, id {id_type}, w long, text string")
+
+
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, block_words: int = 256, shards: int = 64, seed: int = 17, rest: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The written mix, and the rows of docs with their places in it.
+
+    The mix has a row per slot: shard, slot (its number in the shard), source, src, blk, turn (pass over the source),
+    words and parts, the block's pieces of texts in order (start, id, w words, text).
+    Rows of docs: id, source, size, source_size, target, src, start (null if size is 0) and the columns of rest.
     weights repeat along the sources in code-point order, null last. One row per source goes to the driver.
     """
     spark = docs.sparkSession
-    sizes = stored(sizes_of(docs, id_col, text_col, source_col), "mix-sizes")
+    sizes = stored(sizes_of(docs, id_col, text_col, source_col, rest), "mix-sizes")
     per = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("docs")).collect()
     per = sorted(per, key=lambda r: (r.source is None, r.source or ""))
     words = np.array([r.words for r in per], np.int64)
@@ -103,16 +134,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     info = spark.createDataFrame([(r.source, i, int(w), float(t), max(1, -(-int(r.docs) // BUCKET_DOCS))) for i, (r, w, t) in enumerate(zip(per, words, goal, strict=True))], "s string, src int, source_size long, target double, buckets int")
     info = F.broadcast(info) if len(per) <= 100_000 else info
-    rows = sizes.join(info, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    numbered = lambda df: df.join(info, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.col("buckets")).cast("int"))
+    rows = numbered(sizes)
 
-    bucket = F.pmod(F.xxhash64("id", "h"), F.col("buckets")).cast("int")
-    full = rows.filter("size > 0").withColumn("bucket", bucket)
-    w_in = Window.partitionBy("src", "bucket").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("upto", F.sum("size").over(w_in))
-    base = full.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
+    base = rows.filter("size > 0").groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     w_base = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     base = base.select("src", "bucket", (F.sum("n").over(w_base) - F.col("n")).alias("base"))
-    placed = full.join(base, ["src", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
+    w_in = Window.partitionBy("src", "bucket").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Rows with words and their start in their source; rows that tie have the same id and text."""
+        full = df.filter("size > 0").withColumn("upto", F.sum("size").over(w_in))
+        return full.join(base, ["src", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
 
     def slots(batches):
         for batch in batches:
@@ -124,18 +157,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 at = src == s
                 turn = nth[at] // blocks[s]
                 blk[at] = permuted(nth[at] - turn * blocks[s], int(blocks[s]), salt[s] + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int32()), pa.array(blk, pa.int64()), pa.array(cell // len(per), pa.int32())], ["src", "blk", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int32()), pa.array(blk, pa.int64()), pa.array(nth // blocks[src], pa.int32()), pa.array(cell // len(per), pa.int32()), pa.array(g - bounds[cell // len(per) * len(per)], pa.int64())], ["src", "blk", "turn", "shard", "slot"])
 
     total = int(quota.sum())
-    drawn = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total >> 22)).mapInArrow(slots, "src int, blk long, shard int")
-    times = drawn.groupBy("src", "blk").agg(F.count("*").alias("times"))
-    b = F.lit(block_words)
-    pieces = placed.select("*", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("blk"))
-    pieces = pieces.withColumn("w", F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * b) - F.greatest(F.col("start"), F.col("blk") * b))
-    got = pieces.join(times, ["src", "blk"], "left").groupBy("id", "source", "size", "source_size", "target", "src", "start").agg(F.sum(F.col("w") * F.coalesce("times", F.lit(0))).alias("taken")).drop("src", "start")
-    none = rows.filter("size = 0").select("id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    out = got.unionByName(none)
-    return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "taken")
+    drawn = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total >> 22)).mapInArrow(slots, "src int, blk long, turn int, shard int, slot long")
+    pieces = pieces_of(placed(numbered(sizes_of(docs, id_col, text_col, source_col, with_text=True))), block_words)
+    packed = pieces.repartition("src", "blk").groupBy("src", "blk").agg(F.sort_array(F.collect_list(F.struct("start", "id", "w", "text"))).alias("parts"), F.sum("w").alias("words"))
+    mixed = drawn.join(packed, ["src", "blk"]).join(info.select("src", F.col("s").alias("source")), "src")
+    mixed = stored(mixed.select("shard", "slot", "source", "src", "blk", "turn", "words", "parts"), "mix-blocks")
+    keep = ["id", "source", "size", "source_size", "target", "src", *[f"r{i}" for i in range(len(rest))]]
+    none = rows.filter("size = 0").select(*keep, F.lit(None).cast("long").alias("start"))
+    return mixed, placed(rows).select(*keep, "start").unionByName(none)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **given) -> DataFrame:
+    """Writes the mix; one row per row of docs: id_col, size, source, source_size, target, and taken, its words in the mix."""
+    mixed, rows = deal(docs, id_col, text_col, source_col, **given)
+    taken = mixed.select("src", F.explode("parts").alias("p")).groupBy("src", F.col("p.start").alias("start")).agg(F.sum("p.w").alias("taken"))
+    out = rows.join(taken, ["src", "start"], "left")
+    return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -144,10 +184,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, its last part of a pass by a hash of its id."""
-    doc, source, passes, n, nth = fresh(docs, "k_id", "k_source", "k_passes", "k_n", "k_nth")
-    took = mix(docs).filter("taken > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(source), (F.col("taken") / F.greatest("size", F.lit(1))).alias(passes))
-    took = took.withColumn(n, F.floor(F.col(passes) + F.pmod(F.xxhash64(doc), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int")).filter(f"{n} > 0")
-    took = took.groupBy(doc, source).agg(F.max(n).alias(n))
-    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)))
-    return rows.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(nth)).drop(nth)
+    """Pipeline stage: a row for each document and pass that the mix takes words of, with the words it takes; whole passes have whole texts."""
+    rest = [c for c in docs.columns if c != "text"]
+    mixed, rows = deal(docs, rest=rest)
+    parts = mixed.select("src", "turn", "blk", F.explode("parts").alias("p")).select("src", "p.start", "turn", "blk", "p.text")
+    texts = parts.repartition("src", "start").groupBy("src", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("blk", "text"))).alias("parts"))
+    out = texts.join(rows, ["src", "start"]).withColumn("text", F.array_join("parts.text", ""))
+    cols = {c: F.col(f"r{i}") for i, c in enumerate(rest)} | {"text": F.col("text")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[cols[c].alias(c) for c in docs.columns])
