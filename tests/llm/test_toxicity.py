@@ -39,6 +39,22 @@ def test_terms_are_short_and_precise():
     assert set(got) == {"lowe", "idiot$"}
 
 
+def test_misspelled_words_that_a_beginning_stands_for():
+    words = ["idiot", "moron", "clown", "stupid", "pathetic", "worthless", "scum"]
+    counts = {x: (60, 0) for w in words for x in t.terms_of({w})} | {f"beispiel{i}$": (30, 0) for i in range(300)}
+    table = [(x, pos, neg) for x, (pos, neg) in counts.items()]
+    lexicon = t.chosen(table, 100, 900)
+    assert "idi" in lexicon
+    assert "idiot$" not in lexicon
+    assert len(lexicon) > 300
+    a = t.Automaton(lexicon, t.spelled(table, 100, 900))
+    wrong = ["1diot", "m0ron", "c1own", "st0pid", "pthetic", "wrthless", "skum"]
+    assert a.run(wrong).tolist() == [1] * len(wrong)
+    assert a.run(words).tolist() == [2] * len(words)
+    assert a.run(["house", "md", "pthtic", "wrthlss"]).tolist() == [0] * 4
+    assert t.Automaton({"scumbags": 3.0}).run(["scumbagsy", "scunbagsy", "scxxbagsy"]).tolist() == [2, 1, 0]
+
+
 def test_windows_tell_quotation_from_abuse():
     level = {"idiot": 2}
     abuse = t.features("you are an idiot and nothing else", level)

@@ -1,6 +1,7 @@
 """Toxicity: a learned lexicon, Levenshtein automata over its trie, and scores of context windows.
 
-The lexicon holds words and word beginnings that mark toxic documents among the training rows.
+The lexicon holds words and word beginnings that mark toxic documents among the training rows;
+all its full words may be misspelled, also those that a beginning stands for.
 Its trie, intersected with the Levenshtein automaton of one edit, is made one deterministic
 automaton, which all distinct words of a batch run through at once; a misspelling must not be a
 word of clean training texts. Hits are weighed in a window of words around them (other hits,
@@ -17,7 +18,8 @@ null labels are not used; other columns of any name are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import per_slice, stored
 
 HELD, WINDOW = 1, 8
-#: Training rows at most, terms of the lexicon at most.
-TRAIN_ROWS, TERMS = 60_000, 160
-#: Code points of word beginnings, and the least of a word that may be misspelled.
-BEGIN, FUZZY = range(3, 9), 5
+#: Training rows at most.
+TRAIN_ROWS = 60_000
+#: Code points of word beginnings, and the least of a word and of a beginning that may be misspelled.
+BEGIN, FUZZY, FUZZY_BEGIN = range(3, 9), 4, 6
 #: Quotation marks, and verbs of reporting and calling.
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset("said says wrote called quoted reported quote word term dit sagte dijo".split())
@@ -46,14 +48,20 @@ def terms_of(words: set[str]) -> set[str]:
     return out
 
 
-def chosen(table: list[tuple[str, int, int]], positives: int, negatives: int, most: int = TERMS) -> dict[str, float]:
-    """Log-odds of the terms that mark toxic texts: frequent, precise, and no longer than need be."""
+def precise(table: list[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, tuple[float, int]]:
+    """Log-odds and toxic texts of the terms that are frequent in these and rare in others."""
     least = max(3, positives // 100)
     kept: dict[str, tuple[float, int]] = {}
     for term, pos, neg in table:
         odds = float(np.log((pos + 0.5) / (positives + 1)) - np.log((neg + 0.5) / (negatives + 1)))
         if pos >= least and pos >= 9 * neg and odds >= 2.5:
             kept[term] = (odds, pos)
+    return kept
+
+
+def chosen(table: list[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, float]:
+    """Log-odds of the terms that mark toxic texts: frequent, precise, and no longer than need be."""
+    kept = precise(table, positives, negatives)
     out: dict[str, tuple[float, int]] = {}
     for term in sorted(kept, key=lambda t: (len(t.rstrip("$")), t.endswith("$"), t)):
         word = term.rstrip("$")
@@ -61,17 +69,22 @@ def chosen(table: list[tuple[str, int, int]], positives: int, negatives: int, mo
         if word in out or any(out[a][0] >= kept[term][0] - 1.5 for a in above):
             continue
         out[term] = kept[term]
-    best = sorted(out, key=lambda t: (-out[t][1] * out[t][0], t))[:most]
-    return {t: out[t][0] for t in best}
+    return {t: odds for t, (odds, _) in out.items()}
+
+
+def spelled(table: list[tuple[str, int, int]], positives: int, negatives: int) -> set[str]:
+    """All precise full words, those too that a shorter term stands for: a misspelling of them need not begin like that term."""
+    return {t for t in precise(table, positives, negatives) if t.endswith("$")}
 
 
 class Automaton:
-    """Accepts the lexicon's terms exactly (2) or with one edit (1); words end with an end mark."""
+    """Accepts the lexicon's terms and the words exactly (2) or with one edit (1); words end with an end mark."""
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], words: Collection[str] = ()) -> None:
         nodes: list[dict[str, int]] = [{}]
         exact, fuzzy = set(), set()
-        for term in sorted(lexicon):
+        terms = sorted({*lexicon, *words})
+        for term in terms:
             at = 0
             for c in term:
                 if c not in nodes[at]:
@@ -79,11 +92,11 @@ class Automaton:
                     nodes.append({})
                 at = nodes[at][c]
             exact.add(at)
-            if len(term.rstrip("$")) >= FUZZY and term.endswith("$"):
+            if len(term.rstrip("$")) >= (FUZZY if term.endswith("$") else FUZZY_BEGIN):
                 fuzzy.add(at)
         self.letters = {c: i for i, c in enumerate(sorted({c for n in nodes for c in n} | {"$"}))}
         other = len(self.letters)
-        self.longest = max((len(t) for t in lexicon), default=0) + 1
+        self.longest = max((len(t) for t in terms), default=0) + 1
         # children of a node from which a fuzzy end can be reached: only there is an edit worth its branch
         alive = [False] * len(nodes)
         for i in range(len(nodes) - 1, -1, -1):
@@ -107,9 +120,9 @@ class Automaton:
             return close(out)
 
         start = close({(0, 0)})
-        number, todo, table = {start: 0}, [start], []
+        number, todo, table = {start: 0}, deque([start]), []
         while todo:
-            states = todo.pop(0)
+            states = todo.popleft()
             row = []
             for c in [*self.letters, None]:
                 after = step(states, c)
@@ -122,6 +135,7 @@ class Automaton:
         self.accepts = np.zeros(len(number), np.int8)
         for states, i in number.items():
             self.accepts[i] = 2 if any(n in exact and e == 0 for n, e in states) else 1 if any(n in fuzzy and e == 1 for n, e in states) else 0
+        self.dead = number.get(frozenset(), -1)
         self.classes = np.full(0x110000, other, np.int32)
         for c, i in self.letters.items():
             self.classes[ord(c)] = i
@@ -133,10 +147,12 @@ class Automaton:
         text = np.array([(w + "$")[: self.longest] for w in words])
         code = text.view(np.uint32).reshape(len(words), -1)
         state, best = np.zeros(len(words), np.int32), np.zeros(len(words), np.int8)
+        at = np.arange(len(words))
         for k in range(code.shape[1]):
-            live = code[:, k] != 0
-            state = np.where(live, self.table[state, self.classes[code[:, k]]], state)
-            best = np.maximum(best, np.where(live, self.accepts[state], 0))
+            at = at[code[at, k] != 0]
+            state[at] = self.table[state[at], self.classes[code[at, k]]]
+            best[at] = np.maximum(best[at], self.accepts[state[at]])
+            at = at[state[at] != self.dead]
         return best
 
 
@@ -222,7 +238,8 @@ def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         return None
     sums = per_slice(train, "text", counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     table = sums.filter((F.col("pos") >= max(3, positives // 100)) & (F.col("pos") >= 9 * F.col("neg"))).collect()
-    automaton = Automaton(chosen([(r.term, r.pos, r.neg) for r in table], positives, negatives))
+    table = [(r.term, r.pos, r.neg) for r in table]
+    automaton = Automaton(chosen(table, positives, negatives), spelled(table, positives, negatives))
 
     def misspelled(batch: pa.RecordBatch) -> dict:
         words = sorted({w for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True) if y != 1 for w in _WORD.findall((text or "").lower())})
