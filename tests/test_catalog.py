@@ -31,3 +31,20 @@ def test_query(spark, con, name):
 def test_one_window_serves_all_lags(spark):
     plan = catalog.queries()["crossbasis_poly_strata"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_risk_sets_at_all_event_days(spark, con):
+    days: dict = {}
+    for cust, t in con.execute("SELECT o_custkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) FROM orders").fetchall():
+        days.setdefault(cust, set()).add(t)
+    spans = [(min(x), max(x)) for x in days.values() if len(x) > 1]
+    want = {}
+    for t in set().union(*days.values()):
+        inside = [b for a, b in spans if a < t <= b]
+        if inside:
+            want[t] = (len(inside), inside.count(t))
+    got = {r.riskset: (r.at_risk, r.cases) for r in catalog.queries()["risk_set_split_all"](spark, FOLDER).collect()}
+    assert got == want
+    some = catalog.queries()["risk_set_split"](spark, FOLDER).collect()
+    assert {r.riskset: (r.at_risk, r.cases) for r in some} == {t: v for t, v in want.items() if t % 200 == 0}
+    assert len(want) > 100 * len(some)

@@ -616,6 +616,15 @@ def _risk_sets(spark, d):
     return sets.groupBy(F.col("t").cast("long").alias("riskset")).agg(F.count("*").alias("at_risk"), F.sum(F.col("case").cast("long")).alias("cases"))
 
 
+@query("risk_set_split_all")
+def _risk_sets_all(spark, d):
+    """At each distinct event day; risk_set_split and its SQL have each 200th day only."""
+    f = series.table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("t"))
+    follow = f.groupBy("cust").agg(F.min("t").alias("enter"), F.max("t").alias("leave")).filter("enter < leave")
+    sets = recipes.risk_sets(follow, "enter", "leave", f.select("t").distinct(), "t")
+    return sets.groupBy(F.col("t").cast("long").alias("riskset")).agg(F.count("*").alias("at_risk"), F.sum(F.col("case").cast("long")).alias("cases"))
+
+
 @query("climatology", f"WITH {DAILY} SELECT CAST(dayofyear(day) AS INTEGER) AS doy, {r('avg(x)', 'mean', 8)} FROM daily GROUP BY 1")
 def _climatology(spark, d):
     return rounded(recipes.climatology(series.daily(spark, d), "day", "x"), ["doy"], ["mean"], 8)
