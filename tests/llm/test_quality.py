@@ -45,6 +45,20 @@ def test_verdicts_keep_clean_and_drop_junk(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.2
 
 
+def test_repetition_alone_rejects(spark):
+    r = np.random.default_rng(5)
+    fresh = lambda n: ["".join(r.choice(list("etaoinshr"), 6)) for _ in range(n)]
+    texts = [" ".join(fresh(100)) for _ in range(80)]
+    passage = fresh(22)
+    texts += [" ".join([*fresh(28), *passage, *fresh(28), *passage]), " ".join([*fresh(48), *passage[:2], *fresh(48), *passage[:2]])]
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {g.doc_id: g for g in quality_rules.judged(rows).collect()}
+    assert got[80].n_repeat_words == 44
+    assert not got[80].base_failed
+    assert not got[80].kept
+    assert all(got[i].kept for i in got if i != 80)
+
+
 def test_expectation_maximisation_finds_the_labellers():
     rng = np.random.default_rng(3)
     truth = rng.random(20000) < 0.7

@@ -86,9 +86,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def vector() -> list:
-    """The transformed statistics of a row that passed the base rules: word length, symbols, repeated lines, repeated words."""
+    """The transformed statistics of a row that passed the base rules: word length, symbols, repeated lines, repeated words.
+
+    Each can pass the limit alone: half the words repeated is 50 in a group without any.
+    """
     n = F.greatest("n_words", F.lit(1)).cast("double")
-    return [F.log(F.greatest("word_chars", F.lit(1)) / n), F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))), F.sqrt(10.0 * F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
+    return [F.log(F.greatest("word_chars", F.lit(1)) / n), F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))), F.sqrt(10.0 * F.col("n_dup_lines") / n), F.sqrt(4.0 * F.col("n_repeat_words") / n)]
 
 
 def _distance(x: list[str], mean: str, inv: str):
