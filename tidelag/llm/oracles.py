@@ -35,18 +35,29 @@ k AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT k.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, k.doc_id = component_id AS kept FROM k LEFT JOIN n ON n.doc_id = k.doc_id
 """
 
-SUFFIX = """
+def covered(span: int) -> str:
+    """Tables k, t, c, g and s of a span: windows, repeated ones, and the runs a to b that these cover."""
+    return f"""
+k{span} AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), {2 * span})) AS m FROM (SELECT doc_id, h, unnest(generate_series(0, n - {span})) AS p FROM d WHERE n >= {span})),
+t{span} AS (SELECT m FROM k{span} GROUP BY m HAVING count(*) > 1),
+c{span} AS (SELECT k.doc_id, k.p, CASE WHEN k.p > lag(k.p) OVER (PARTITION BY k.doc_id ORDER BY k.p) + {span} THEN 1 ELSE 0 END AS fresh FROM k{span} k JOIN t{span} t ON k.m = t.m),
+g{span} AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c{span}),
+s{span} AS (SELECT doc_id, min(p) AS a, max(p) + {span} AS b FROM g{span} GROUP BY doc_id, run)"""
+
+
+_BLANK = "IN ('20', '09', '0A', '0B', '0C', '0D')"
+
+SUFFIX = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-p AS (SELECT doc_id, h, unnest(generate_series(0, n - 400)) AS p FROM d WHERE n >= 400),
-k AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 800)) AS m FROM p),
-t AS (SELECT m FROM k GROUP BY m HAVING count(*) > 1),
-c AS (SELECT k.doc_id, k.p, CASE WHEN k.p > lag(k.p) OVER (PARTITION BY k.doc_id ORDER BY k.p) + 400 THEN 1 ELSE 0 END AS fresh FROM k JOIN t ON k.m = t.m),
-g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
-s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, run),
-x AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS u FROM s UNION ALL SELECT s.doc_id, max(s.b) AS f, max(d.n) AS u FROM s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id),
+{covered(400)},
+{covered(200)},
+x AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS u FROM s400 UNION ALL SELECT s.doc_id, max(s.b) AS f, max(d.n) AS u FROM s400 s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id),
 y AS (SELECT x.doc_id, string_agg(substr(d.h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (u - f) AS BIGINT)), '' ORDER BY f) AS left_over FROM x JOIN d ON d.doc_id = x.doc_id GROUP BY x.doc_id),
-z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s400 GROUP BY doc_id),
+r AS (SELECT s.doc_id, regexp_extract_all(CASE WHEN a = 0 THEN '20' ELSE substr(d.h, CAST(2 * a - 1 AS BIGINT), 2) END || substr(d.h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '..') AS bytes FROM s200 s JOIN d ON d.doc_id = s.doc_id),
+q AS (SELECT doc_id, len(list_filter(range(2, len(bytes) + 1), lambda p: bytes[p] NOT {_BLANK} AND bytes[p - 1] {_BLANK})) AS words FROM r),
+v AS (SELECT doc_id, max(words) >= 50 AS flagged FROM q GROUP BY doc_id)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(z.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(z.n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(y.left_over, d.h))) AS kept_sha256
-FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id
+  sha256(unhex(coalesce(y.left_over, d.h))) AS kept_sha256, coalesce(v.flagged, false) AS flagged
+FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id
 """
