@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that separate words in ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -21,16 +23,23 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # only in tests, where driver and executors are one process
+    """A new folder below the session's ``spark.checkpoint.dir``, which all executors share.
+
+    A path without a scheme is of the default file system. Without that setting a session of one process
+    uses a temporary folder; any other is refused.
+    """
+    top, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        top = tempfile.gettempdir() + "/tidelag-shared"
+        top = f"file://{tempfile.gettempdir()}/tidelag-shared"
         spark.conf.set("spark.checkpoint.dir", top)
-    if "://" not in top:
-        top = "file://" + top
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    uri = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _written: list[str] = []
@@ -38,19 +47,41 @@ _written: list[str] = []
 
 def drop_stored(spark: SparkSession) -> None:
     """Deletes the tables that this driver has stored so far; call it when the results that read them are consumed."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def consumed(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        _written.remove(df.folder)
+        _delete(df.sparkSession, df.folder)
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     _written.append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**(options or {})).option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path  # for consumed()
+    return out
+
+
+def text_name(text_col: str):
+    """The SHA-256 that names a text, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
+def hash_below(name: str, share: float):
+    """True for a share of all values of a 64-bit hash column, however small the share."""
+    return F.col(name) <= (min(int(share * 2**64), 2**64 - 1) - 2**63)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
