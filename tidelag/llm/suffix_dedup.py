@@ -369,7 +369,7 @@ def _lists(data: np.ndarray, off: np.ndarray, span: int) -> dict:
 def _shared(keyed: DataFrame) -> DataFrame:
     """cls, base, found (key and the number of its runs) of the texts that have keys with two runs; keyed has cls, base, keys and times."""
     each = keyed.select("cls", "base", F.explode(F.arrays_zip("keys", "times")).alias("k")).select("cls", "base", F.col("k.keys").alias("key"), F.col("k.times").alias("c"))
-    twice = each.groupBy("key").agg(F.sum("c").alias("n")).filter("n > 1")
+    twice = stored(each.groupBy("key").agg(F.sum("c").alias("n")).filter("n > 1"), "suffix-keys")  # stored, so that Spark can split a hot key's rows in the join
     return each.drop("c").join(twice, "key").groupBy("cls", "base").agg(F.collect_list(F.struct("key", "n")).alias("found"))
 
 
