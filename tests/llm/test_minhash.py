@@ -73,3 +73,43 @@ def test_stage_keeps_one_of_each_group(spark, docs, rows, empty):
     assert len(kept) == len(set(kept))
     assert {comps[k] for k in kept} == set(comps.values())
     assert m.stage(spark, empty, "").count() == 0
+
+
+def test_patterned_words_have_hashes_of_their_own():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    raw = f"{one} {two}".encode()
+    h, _ = m.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert len(set(h.tolist())) == 2
+    h, off = m.shingles(np.frombuffer(raw, np.uint8), np.array([0, 1024, 1024, len(raw)]))
+    assert off.tolist() == [0, 1, 1, 2]
+    assert h[0] != h[1]
+
+
+@pytest.mark.parametrize("members", [128, 6])
+def test_clusters_in_parts(spark, monkeypatch, members):
+    """Chains that drift, so that a hub part doesn't reach all of a cluster, in clusters of several parts."""
+    monkeypatch.setattr(m, "MEMBERS", members)
+    r, texts = random.Random(9), []
+    for g in range(3):
+        words = prose(80 + g, 100).split(" ")
+        for _ in range(30):
+            words = list(words)
+            for k in r.sample(range(100), 2):
+                words[k] = "v" + str(r.randint(0, 99999))
+            texts.append(" ".join(words))
+    texts += texts[:3]
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert found(df) == sorted((str(a), n, str(c)) for a, n, c in components(list(enumerate(texts))))
+
+
+def test_stage_tells_namesakes_apart(spark):
+    a, b = prose(21, 120), prose(22, 60)
+    near = a.replace(a.split(" ")[30], "new", 1)
+    rows = [(1, a), (1, b), (2, a), (3, near), (1, near), (4, b), (5, ""), (5, None), (6, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in m.stage(spark, df, "").collect()]
+    kept = [x for x in out if x[1] and x[1].strip()]
+    assert len(kept) == 2 and (1, b) in kept and {x[0] for x in kept} == {1}
+    assert sum(k == 5 for k, _ in out) == 1 and (6, " ") in out

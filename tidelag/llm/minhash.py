@@ -8,33 +8,39 @@ error, which enumerates the allowed errors. Pairs that share a key and are withi
 distance are confirmed on their full sets.
 
 Within a bucket, signatures are compared until those within the distance hang together; the
-buckets' spanning forests join into loose clusters, so pairs never become rows. In a cluster the
-full sets of all members meet, intersections are products of 0/1 matrices, and again only a
-spanning forest leaves the task. Large buckets and clusters are cut into parts of BLOCK members,
-every two of which meet in a task of their own.
+buckets' spanning forests join into loose clusters, so pairs never become rows. In a cluster full
+sets meet, intersections are products of 0/1 matrices, and again only a spanning forest leaves the
+task. Large buckets are cut into parts of BLOCK members, every two of which meet in a task of their
+own. Clusters are cut into parts of MEMBERS members and ITEMS shingles: first each part meets itself
+and one part, the hub; then, in clusters that are not one component yet, all members outside the
+largest component meet all others. So a group of near copies costs work in proportion to its size.
 
 Missing a link needs more than MOST of 64 minima to differ: under 2e-7 for a pair of
 similarity 0.85, far less above.
 
 Defined results: a text without words, or null, has an empty set and is linked with
 nothing; with under five words the whole sequence is the one shingle; repeated rows are
-linked and give one component; an empty table gives an empty result; other columns are ignored.
+linked and give one component; rows of one id with different texts are linked by their texts; a
+similarity of exactly 0.85 is a link; a very long text is one set of all its shingles; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, fresh, mix64, per_slice, stored, sums, word_starts
+from .common import SPACE, consumed, flat, fresh, mix64, per_slice, stored, sums, text_name, word_starts
 
 SYMBOLS, MOST = 64, 27
 #: Chunks: each may hold one error, so CHUNKS * 2 > MOST.
 CHUNKS = MOST // 2 + 1
-#: Members of a bucket that one task compares with each other.
-BLOCK = 1024
+#: Members of a part of a bucket, and members and shingles of a part of a cluster; two parts meet in a task.
+BLOCK, MEMBERS, ITEMS = 1024, 128, 1 << 20
 
 _rng = np.random.default_rng(5)
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -62,11 +68,13 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.flatnonzero(begin)
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
-    up, down = powers(len(data))
-    value = np.where(solid, _LETTER[data] * up[: len(data)], np.uint64(0))
+    place = np.arange(len(data))
+    inner = place - np.maximum.accumulate(np.where(begin, place, 0))
+    # a random value for each letter at each place of a word, so that no pattern of letters cancels out
+    value = np.where(solid, mix64(_LETTER[data] + inner.astype(np.uint64) * _BASE), np.uint64(0))
     total = np.add.reduceat(value, first)
     chars = np.add.reduceat(solid.astype(np.int64), first)
-    return mix64(total * down[first] + chars.astype(np.uint64)), sums(begin, off)
+    return mix64(total + chars.astype(np.uint64)), sums(begin, off)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -136,20 +144,23 @@ def named(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h1 and h2 (128 bits that name the set, null if empty), n (its size) and sig of each row."""
+    """id, sha (of the text), h1 and h2 (128 bits that name the set, null if empty), n (its size) and sig of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        h, off = shingles(*flat(batch.column("text")))
+        data, at = flat(batch.column("text"))
+        h, off = shingles(data, at)
         n = np.diff(off)
         full = n > 0
         names = [pa.array(x, mask=~full) for x in named(h, off)]
         sig, rows = signatures(h, off), [None] * len(n)
         for i, x in zip(np.flatnonzero(full).tolist(), sig, strict=True):
             rows[i] = x.tobytes()
-        return {"id": batch.column("id"), "h1": names[0], "h2": names[1], "n": n, "sig": rows}
+        raw = data.tobytes()
+        sha = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return {"id": batch.column("id"), "sha": sha, "h1": names[0], "h2": names[1], "n": n, "sig": rows}
 
-    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, h1 long, h2 long, n long, sig binary")
+    return per_slice(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", kernel, f"id {kind}, sha binary, h1 long, h2 long, n long, sig binary")
 
 
 def low_bytes(column: str):
@@ -177,13 +188,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct(), "links")
     seen = None
     while True:
-        both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
+        old, both = edges, edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"), "links-low")
         large = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").unionByName(edges.join(low, "u").select("u", F.col("m").alias("v")))
         large = stored(large.filter("u <> v").distinct(), "links-large")
+        consumed(old, low)
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
         small = large.join(low, "u").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v"))
         edges = stored(small.filter("u <> v").distinct(), "links-small")
+        consumed(large, low)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break
@@ -304,7 +317,7 @@ def _linked(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         column = np.cumsum(use) - 1
         keep = use[code]
         r, c = row[keep], column[code[keep]]
-        common = np.full((e - s, e - s), every, np.float32)
+        common = np.full((e - s, e - s), every, np.int64)
         width = max(256, (8 << 20) // max(e - s, 1))
         order = np.argsort(c, kind="stable")
         r, c = r[order], c[order]
@@ -312,7 +325,7 @@ def _linked(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
             a, b = np.searchsorted(c, [k, k + width])
             x = np.zeros((e - s, width), np.float32)
             x[r[a:b], c[a:b] - k] = 1
-            common += x @ x.T
+            common += (x @ x.T).astype(np.int64)  # exact: a product sums at most width ones
         both = size[:, None] + size[None, :]
         link = 100 * common >= 85 * (both - common)
         if bi[s] != bj[s]:
@@ -338,8 +351,26 @@ def sets_of(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> Dat
     return per_slice(rows, "text", kernel, "cid long, same boolean, items array<long>").filter("same").drop("same").dropDuplicates(["cid"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id reachable over links) and kept of each row."""
+def round_of_hubs(sets: DataFrame) -> DataFrame:
+    """Members of clusters (root, parts, salt) with the tasks they go to: those of part 0 to the task of each part, the others to their own."""
+    hub = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("salt") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("salt"))
+    return sets.withColumn("bi", F.explode(hub)).withColumn("bj", F.col("bi"))
+
+
+def round_of_rest(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of clusters that the hubs left in several components, with tasks in which all that are outside the largest meet all members."""
+    own = sets.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    count = own.groupBy("root", "comp").agg(F.count("*").alias("n"))
+    largest = count.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
+    largest = largest.select("root", F.col("top.comp").alias("main"), F.greatest(F.ceil((F.col("n") - F.col("top.n")) / MEMBERS), F.lit(1)).cast("int").alias("outer"))
+    own = own.join(largest, "root").withColumn("a", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("outer")).cast("int"))
+    every = own.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("bj", -1 - F.col("salt")).withColumn("salt", F.col("bj"))
+    rest = own.filter("comp <> main").withColumn("bi", F.col("a")).withColumn("bj", F.explode(F.sequence(-F.col("parts"), F.lit(-1)))).withColumn("salt", F.col("a"))
+    return every.unionByName(rest)
+
+
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sha (of the text), n (shingles), root (the group's number, null if the set is empty) and component_id of each row."""
     rows = stored(signed(docs, id_col, text_col), "minhash-rows")
     classes = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")  # numbers that stay as they are written
@@ -347,22 +378,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = keyed(classes)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("mark"))
     buckets = buckets.filter("size > 1").groupBy("size", "low", "high", "mark").agg(F.min("key").alias("key")).select("key", "size")  # one of those with the same members
-    members = stored(keys.join(buckets, "key"), "minhash-members")
-    members = blocks_of(members.join(classes.select("cid", "n", low_bytes("sig").alias("sig")), "cid"), "key", BLOCK)
-    loose = components(grouped(members, "key", ("cid", "n", "salt", "sig"), _close))
-
-    loose = stored(loose.select(F.col("v").alias("cid"), "root"), "minhash-clusters")
-    sizes = loose.groupBy("root").agg(F.count("*").alias("size"))
-    need = stored(loose.join(classes, "cid").select("cid", "rep", "h1", "h2"), "minhash-need")
-    sets = sets_of(docs, need, id_col, text_col).join(loose, "cid").join(sizes, "root")
-    comps = stored(components(grouped(blocks_of(sets, "root", BLOCK), "root", ("cid", "salt", "items"), _linked)), "minhash-comps")
+    held = stored(keys.join(buckets, "key"), "minhash-members")
+    members = blocks_of(held.join(classes.select("cid", "n", low_bytes("sig").alias("sig")), "cid"), "key", BLOCK)
+    loose = stored(components(grouped(members, "key", ("cid", "n", "salt", "sig"), _close)).select(F.col("v").alias("cid"), "root"), "minhash-clusters")
+    consumed(held)
+
+    need = stored(loose.join(classes, "cid").select("cid", "root", "rep", "n", "h1", "h2"), "minhash-need")
+    sizes = need.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / ITEMS)).cast("int").alias("parts"))
+    places = stored(loose.join(sizes, "root").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), "minhash-places")
+    found = sets_of(docs, need.drop("root", "n"), id_col, text_col)
+    link = lambda dealt: grouped(dealt, "root", ("cid", "salt", "items"), _linked)
+    edges = stored(link(round_of_hubs(found.join(places, "cid"))), "minhash-links")
+    comps = stored(components(edges), "minhash-comps")
+    done = comps.select(F.col("v").alias("cid"), F.col("root").alias("comp"))
+    rest = stored(round_of_rest(places.filter("parts > 1"), done).drop("parts", "outer", "a", "main", "comp"), "minhash-rest")
+    if not rest.isEmpty():
+        some = sets_of(docs, need.join(rest.select("cid").distinct(), "cid", "left_semi").drop("root", "n"), id_col, text_col)
+        more = stored(link(rest.join(some, "cid")), "minhash-links")
+        comps = stored(components(more.unionByName(comps.selectExpr("v AS a", "root AS b"))), "minhash-comps")
 
     final = classes.select("cid", "rep", "h1", "h2").join(comps.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = final.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = stored(final.join(lowest, "root").select("h1", "h2", "component_id"), "minhash-final")
-    out = rows.select("id", "n", "h1", "h2").join(final, ["h1", "h2"], "left")
-    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    final = stored(final.join(lowest, "root").select("h1", "h2", "root", "component_id"), "minhash-final")
+    consumed(classes, loose, need, places, rest)
+    out = rows.select("id", "sha", "n", "h1", "h2").join(final, ["h1", "h2"], "left")
+    return out.select("id", "sha", "n", "root", F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id reachable over links) and kept of each row."""
+    out = classed(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -371,8 +417,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group; of repeated rows one."""
-    (doc,) = fresh(docs, "k_id")
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(doc)).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """Pipeline stage: one document of each group; of its rows with the smallest id that with the smallest digest, of repeated rows one.
+
+    Of texts without words each different one stays.
+    """
+    doc, name = fresh(docs, "k_id", "k_sha")
+    rows = classed(docs).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    one = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("sha", "id")).alias("r")).select(F.col("r.id").alias(doc), F.col("r.sha").alias(name))
+    one = one.unionByName(rows.filter("root IS NULL").select(F.col("id").alias(doc), F.col("sha").alias(name)).distinct())
+    own = docs.withColumn(name, text_name("text"))
+    return own.join(one.withColumnRenamed(name, name + "_"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(name) == F.col(name + "_")), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
