@@ -1,8 +1,10 @@
 import hashlib
+import shutil
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelag.llm import media
 
@@ -52,10 +54,20 @@ def test_files(codec):
             media.read_wav(bad)
 
 
+def test_packing_is_lossless():
+    rng = np.random.default_rng(5)
+    off = np.array([0, 2, 8, 200])
+    for pcm in (rng.integers(-32768, 32768, 200).astype(np.int16), media.resampled(rng.integers(-32768, 32768, 100).astype(np.int16), off // 2)):
+        out, ends = media.unpacked(media.packed(pcm, off))
+        np.testing.assert_array_equal(out, pcm)
+        assert ends.tolist() == off.tolist()
+    assert media.packed(pcm, off)[2][192:] == b"\0" * 192  # nothing is left of what the interpolator made
+
+
 def test_rows(docs, rows, empty):
     got = {}
-    for r in media.read_media(media.write_media(docs)).collect():
-        got.setdefault(r.n_bytes, []).append((bytes(r.payload), bytes(r.media), r.feature, bytes(r.pcm)))
+    for r in media.with_feature(media.read_media(media.write_media(docs)).withColumn("signal", F.col("pcm"))).collect():
+        got.setdefault(r.n_bytes, []).append((bytes(r.payload), bytes(r.media), r.feature, bytes(r.signal)))
     texts = [(r[1] or "").encode() for r in rows]
     assert sum(map(len, got.values())) == len(rows)
     for b in texts:
@@ -66,7 +78,11 @@ def test_rows(docs, rows, empty):
         tag, _, data = media.read_wav(same[0][1])
         assert data == same[0][0]
         samples = n // 64 * 121 if tag == 17 else n
-        assert len(same[0][3]) == 4 * samples
+        pcm, _ = media.unpacked([same[0][3]])
+        assert len(pcm) == 2 * samples
+        if tag != 17:
+            np.testing.assert_array_equal(pcm[::2], media.TABLES[tag][np.frombuffer(data, np.uint8)])
+        assert f"n={len(pcm)} peak={np.abs(pcm.astype(int)).max()} " in same[0][2]
     assert media.read_media(media.write_media(empty)).count() == 0
 
 
@@ -75,3 +91,13 @@ def test_query(spark, tmp_path, docs):
     for r, t in zip(media.query(spark, str(tmp_path)).where("doc_id = 15").collect(), ["one two"], strict=True):
         p = t.encode() + b"\0" * 57
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (7, 64, hashlib.sha256(p).hexdigest(), zlib.crc32(p))
+
+
+def test_features_come_from_the_stored_signal(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = media.query(spark, str(tmp_path))
+    (folder,) = {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+    assert "media-pcm" in folder
+    shutil.rmtree(folder.removeprefix("file://"))
+    with pytest.raises(Exception, match=r"(?i)exist|not found"):
+        out.collect()

@@ -3,10 +3,13 @@
 Payload bytes are kept as the samples of a WAV file, 8 kHz mono: mu-law, A-law or IMA ADPCM
 (blocks of 64 bytes). Stored files are read back by their chunks, companded samples are expanded
 by lookup tables, ADPCM is decoded with numpy across all blocks of a batch at once, and the
-result is resampled to 16 kHz PCM by a half-band interpolator.
+result is resampled to 16 kHz PCM by a half-band interpolator. That PCM is stored, without loss: even
+samples, and odd ones as differences from what the interpolator makes of the even ones. Features are
+computed from the stored PCM.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal
-values; repeated rows are stored each; an empty table gives an empty result; other columns are ignored.
+values; repeated rows are stored each; ties don't arise; a very long text is one file, handled alone, with
+memory of some 60 times its size; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,14 +122,37 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 def resampled(pcm: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Twice the rate: each sample, then the half-band value (-1, 9, 9, -1) / 16 between it and the next; ends are held."""
+    out = np.empty(2 * len(pcm), np.int16)
+    out[::2], out[1::2] = pcm, between(pcm, off)
+    return out
+
+
+def between(pcm: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The half-band value after each sample."""
     size = np.diff(off)
     low, high = np.repeat(off[:-1], size), np.repeat(off[1:] - 1, size)
     at, x = np.arange(len(pcm)), pcm.astype(np.int32)
     one, two = np.minimum(at + 1, high), np.minimum(at + 2, high)
     mid = (9 * (x + x[one]) - x[np.maximum(at - 1, low)] - x[two] + 8) >> 4
-    out = np.empty(2 * len(x), np.int16)
-    out[::2], out[1::2] = x, np.clip(mid, -32768, 32767)
-    return out
+    return np.clip(mid, -32768, 32767).astype(np.int16)
+
+
+def packed(pcm: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Each signal (an even number of samples) as its even samples, then the odd ones less the half-band values, modulo 2 ** 16."""
+    even = np.ascontiguousarray(pcm[::2])
+    rest = (pcm[1::2].astype(np.int32) - between(even, off // 2)).astype("<i2").tobytes()
+    even = even.astype("<i2").tobytes()
+    return [even[a:b] + rest[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of packed signals, and offsets."""
+    off = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blobs])]).astype(np.int64)
+    even = np.frombuffer(b"".join(b[: len(b) // 2] for b in blobs), "<i2")
+    rest = np.frombuffer(b"".join(b[len(b) // 2 :] for b in blobs), "<i2")
+    out = np.empty(2 * len(even), np.int16)
+    out[::2], out[1::2] = even, (between(even, off // 2).astype(np.int32) + rest).astype(np.int16)
+    return out, off
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None) -> DataFrame:
@@ -163,35 +189,48 @@ def decoded(files: list[bytes]) -> tuple[list[int], list[bytes], np.ndarray, np.
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Every column of media, and payload, pcm (16-bit, low byte first, 16 kHz) and feature of each row."""
+    """Every column of media, and payload, codec and pcm (packed, 16 kHz) of each row."""
     rows = media.withColumnsRenamed({id_col: "id", media_col: "media"}).select("id", "n_bytes", "media")
     kind = rows.schema["id"].dataType.simpleString()
+    names = {v: k for k, v in TAGS.items()}
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        files = batch.column("media").to_pylist()
-        tags, payload, pcm, off = decoded(files)
-        names = {v: k for k, v in TAGS.items()}
+        tags, payload, pcm, off = decoded(batch.column("media").to_pylist())
+        return {"id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "media": batch.column("media"), "payload": payload, "codec": [names[t] for t in tags], "pcm": packed(pcm, off)}
+
+    out = per_slice(rows, "media", kernel, f"id {kind}, n_bytes long, media binary, payload binary, codec string, pcm binary", 1 << 20)
+    return out.withColumnsRenamed({"id": id_col, "media": media_col})
+
+
+def with_feature(rows: DataFrame) -> DataFrame:
+    """Columns of rows but pcm, and feature, from the stored signal and the codec's name."""
+    others = [c for c in rows.columns if c != "pcm"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others).schema)
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        pcm, off = unpacked(batch.column("pcm").to_pylist())
         wide, first = pcm.astype(np.int64), off[:-1]
         energy, peak = np.add.reduceat(wide * wide, first), np.maximum.reduceat(np.abs(wide), first)
         turns = np.zeros(len(pcm), np.int64)
         turns[1:] = (wide[1:] < 0) != (wide[:-1] < 0)
         turns[first] = 0
         turns = np.add.reduceat(turns, first)
-        n = np.diff(off)
-        feature = [f"{names[t]} n={c} peak={p} power={e // c} turns={z}" for t, c, p, e, z in zip(tags, n.tolist(), peak.tolist(), energy.tolist(), turns.tolist(), strict=True)]
-        raw = pcm.astype("<i2").tobytes()
-        return {"id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "media": batch.column("media"), "payload": payload, "pcm": [raw[2 * a : 2 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], "feature": feature}
+        each = zip(batch.column("codec").to_pylist(), np.diff(off).tolist(), peak.tolist(), energy.tolist(), turns.tolist(), strict=True)
+        return {c: batch.column(c) for c in others} | {"feature": [f"{k} n={c} peak={p} power={e // c} turns={z}" for k, c, p, e, z in each]}
 
-    out = per_slice(rows, "media", kernel, f"id {kind}, n_bytes long, media binary, payload binary, pcm binary, feature string", 1 << 20)
-    return out.withColumnsRenamed({"id": id_col, "media": media_col})
+    return per_slice(rows, "pcm", kernel, f"{ddl}, feature string")
+
+
+#: Options of the stored tables: signals repeat each other over long distances.
+_TABLES = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: every document stored as audio and read back."""
-    media = stored(write_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    rows = read_media(media)
-    return rows.select(
+    """op4: every document stored as audio and read back, its PCM stored and read back for the features."""
+    media = stored(write_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", options=_TABLES)
+    signals = read_media(media).select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), -UNIT, UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.sha2("media", 256).alias("media_sha256"), "codec", "pcm",
     )
+    return with_feature(stored(signals, "media-pcm", options=_TABLES)).drop("codec")
