@@ -6,8 +6,9 @@ with the dictionary, and checks version, fields, lengths and digests.
 
 Defined results: null html is an empty payload; of rows with equal payloads those with the smallest
 id are responses (all of them if that id is repeated, or if no row has an id), the others revisit it;
-a null url is written as an empty target; repeated rows are records of their own; an empty table
-gives an empty result; other columns of any name are ignored.
+a null url is written as an empty target; repeated rows are records of their own; a very long page
+is a record, and an archive, of its own; an empty table gives an empty result; other columns of any
+name are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import shared_dir, stored
 
 #: Raw bytes of records in one archive, of its dictionary, and of the records it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 20, 16 << 10, 1 << 20
+#: Bytes up to which the list of revisits is broadcast; beyond, payloads are joined to it by id.
+LIGHT_BYTES = 16 << 20
 #: Formats of the archive.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 VERSION, DATE = b"WARC/1.1", "2024-01-01T00:00:00Z"
@@ -177,10 +180,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     An archive is written under another name and then moved, so a task that runs twice leaves one.
     """
     rows = pages.select(F.col(id_col).cast("string").alias("key"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html"))
-    same = rows.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    rows = rows.join(same, "sha", "left").withColumn("refers", F.when(F.col("id") != F.col("first"), F.col("first").cast("string")))
-    rows = rows.withColumn("refers", F.when(F.col("id").isNull() & F.col("first").isNotNull(), F.col("first").cast("string")).otherwise(F.col("refers")))
+    rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
+    brief = rows.filter(F.octet_length("html") >= min_bytes).select("id", "sha")
+    first = brief.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("sha", "first")
+    again = brief.join(first, "sha").filter(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), F.col("first").cast("string").alias("refers"))
+    again = stored(again.distinct(), "warc-revisits")  # of small rows, so that payloads needn't be shuffled to find it
+    few = again.agg(F.count("*"), F.sum(F.length(F.coalesce(F.col("r_id").cast("string"), F.lit("")))), F.sum(F.length("refers"))).first()
+    light = few[0] * 100 + (few[1] or 0) + (few[2] or 0) <= LIGHT_BYTES
+    rows = rows.join(F.broadcast(again) if light else again, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
 
     def run(batches):
         from pyspark import TaskContext
