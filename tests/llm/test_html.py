@@ -67,3 +67,37 @@ def test_frame(spark, trees):
     assert sum(g[2] == plain for g in got) == 2
     assert all(g[3] == len(g[2]) for g in got)
     assert h.extracted(df.limit(0), trees=trees).count() == 0
+
+
+def test_attributes_are_parsed():
+    a = h.attributes_of(""" class="overflow-hidden x" data-hidden='1' ID=top hidden style="Display : none" """)
+    assert a["class"] == "overflow-hidden x" and a["id"] == "top" and "hidden" in a
+    assert h.unseen(a) and h.unseen({"aria-hidden": "true"}) and h.unseen({"style": "color:red;display:none"})
+    assert not h.unseen({"class": "overflow-hidden", "data-hidden": "1", "aria-hidden": "false"})
+    assert h.tokens_of({"class": "overflow-hidden story"}) == {"story"}
+
+
+TEXT = "A text that is long enough, of some words, to be the main one. " * 6
+
+
+@pytest.mark.parametrize("name", ['class="overflow-hidden"', 'class="card related-article"', 'data-x="hidden"', 'class="no-sidebar"', ""])
+def test_names_that_mislead(trees, name):
+    page = f"<body><nav><a href='/'>Home</a></nav><article {name}><h1>Title of it</h1><p>{TEXT}</p><p>{TEXT}</p></article><footer>&copy; 2020 Site</footer></body>"
+    text = " ".join(f"{TEXT} {TEXT}".split())
+    assert h.extract(page, trees) in ((f"Title of it {text}", text) if "related" in name else (f"Title of it {text}",))  # that name may cost the title
+
+
+def test_inline_elements_keep_their_text(trees):
+    inner = "Say <math><mi>x</mi></math> and <button>press</button> or <object>see</object> it, so it goes on. "
+    page = f"<body><article><h1>Title</h1><p>{TEXT}</p><p>{inner}</p></article><form><p>Your name</p><button>Send</button></form></body>"
+    assert "Say x and press or see it, so it goes on." in h.extract(page, trees)
+    assert "Send" not in h.extract(page, trees)
+
+
+def test_time_in_proportion_to_the_page(trees):
+    import time
+
+    for page in ("<div>" * 50_000 + "x", "<button>" * 50_000 + "x", "<svg>" * 50_000 + "x", "<p><b>" * 20_000 + "x", "<li>x" * 20_000):
+        start = time.time()
+        h.parse(page)
+        assert time.time() - start < 2
