@@ -12,7 +12,9 @@ Labels, language, source and id are never features.
 
 Defined results: a null or empty text has no hits and gets the score of such texts; repeated rows
 are scored each; an empty table gives an empty result; without training rows every score is 0;
-null labels are not used; other columns of any name are ignored.
+null labels are not used; of rows of one id in labels the largest counts; hashes of ids that tie are in the
+sample or out of it together; a very long text is scored whole, in time in proportion to its words;
+other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_slice, stored
+from .common import hash_below, per_slice, stored
 
 HELD, WINDOW = 1, 8
 #: Training rows at most.
@@ -158,17 +160,18 @@ class Automaton:
 
 def features(text: str, level: dict[str, int]) -> list[float]:
     """Of a text with hits: the features of its windows; level: 2 or 1 of its words that are hits."""
-    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text.lower())]
+    text = text.lower()  # places are of the lower-cased text, which may be longer
+    words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
     at = [(i, level[w]) for i, (w, _, _) in enumerate(words) if w in level]
     full = [i for i, v in at if v == 2]
     windows, quoted, reported, close = [], 0, 0, 0
     lone = np.array([i for i, _ in at])
-    for i, v in at:
+    around = np.searchsorted(lone, lone + WINDOW, "right") - np.searchsorted(lone, lone - WINDOW) - 1
+    for (i, v), near in zip(at, around.tolist(), strict=True):
         a, b = words[max(0, i - WINDOW)][1], words[min(len(words) - 1, i + WINDOW)][2]
         before, after = text[a : words[i][1]], text[words[i][2] : b]
         in_quotes = sum(before.count(q) for q in QUOTES) % 2 == 1 and any(q in after for q in QUOTES)
         told = any(w in REPORTING for w, _, _ in words[max(0, i - 3) : i])
-        near = int(((lone >= i - WINDOW) & (lone <= i + WINDOW)).sum()) - 1
         quoted, reported, close = quoted + in_quotes, reported + told, close + (near > 0)
         windows.append((1.0 if v == 2 else 0.5) * (0.3 if in_quotes else 1) * (0.6 if told else 1) * (1 + 0.5 * min(near, 3)))
     n = max(len(at), 1)
@@ -220,7 +223,7 @@ def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     given = stored(given, "toxic-labels")
     total = given.count()
     share = min(1.0, rows / max(total, 1))
-    given = given.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    given = given.withColumn("l_hash", F.xxhash64("l_id")).filter(hash_below("l_hash", share)).drop("l_hash")
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(given, F.col("id") == F.col("l_id")).select("text", "y")
     train = stored(train, "toxic-train")
 

@@ -7,7 +7,8 @@ the posteriors of a bounded sample train a linear scorer over hashed word shapes
 statistics, which then scores every document.
 
 Defined results: a null or empty text has no words and is scored like any other; repeated rows
-are scored each; an empty table gives an empty result; other columns of any name are ignored.
+are scored each; a score at the cut is kept; a very long text is one row of its batch, its features its
+different word shapes; an empty table gives an empty result; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, per_slice, stored, sums
+from .common import flat, hash_below, per_slice, stored, sums
 from .quality_rules import SYMBOLS, counts
 
 #: Frequent short words of the corpus languages.
@@ -109,7 +110,7 @@ def shape_of(word: bytes) -> int:
             _shapes.clear()
         text = word.decode("utf-8", "replace")
         kind = _SHAPE.sub(lambda m: "a" if m[0][0].islower() else "A" if m[0][0].isupper() else "0", text)
-        got = _shapes[word] = hashed(kind if len(kind) <= 12 else kind[:12])
+        got = _shapes[word] = hashed(kind)
     return got
 
 
@@ -119,6 +120,12 @@ def hashed(text: str) -> int:
     return zlib.crc32(text.encode()) % BUCKETS
 
 
+def stepped(name: str, level: np.ndarray) -> np.ndarray:
+    """Bucket of each level of a statistic."""
+    levels, back = np.unique(level, return_inverse=True)
+    return np.array([hashed(f"{name}={v}") for v in levels.tolist()], np.int64)[back]
+
+
 def features(batch: pa.RecordBatch, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and value of the hashed features: shares of word shapes, and each statistic in steps."""
     data, off = flat(batch.column("text"))
@@ -134,14 +141,11 @@ def features(batch: pa.RecordBatch, m: dict[str, np.ndarray]) -> tuple[np.ndarra
     own_rows, own, one = [row], [cell % BUCKETS], [value]
     every = np.arange(len(m["n"]))
     for name, scale in steps.items():
-        level = np.minimum(np.floor(m[name] * scale), 15).astype(int)
-        bucket = np.array([hashed(f"{name}={v}") for v in range(16)])
         own_rows.append(every)
-        own.append(bucket[level])
+        own.append(stepped(name, np.floor(m[name] * scale).astype(int)))
         one.append(np.ones(len(every)))
-    level = np.minimum(np.log2(m["n"] + 1), 15).astype(int)
     own_rows.append(every)
-    own.append(np.array([hashed(f"n={v}") for v in range(16)])[level])
+    own.append(stepped("n", np.log2(m["n"] + 1).astype(int)))
     one.append(np.ones(len(every)))
     return np.concatenate(own_rows), np.concatenate(own), np.concatenate(one)
 
@@ -167,7 +171,8 @@ def fitted(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.nd
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float = 0.3) -> DataFrame:
     """id_col, label (the weak posterior of good), score (of the trained scorer) and kept of each row.
 
-    At most about `sample` rows, chosen by a hash of their text, train the scorer; their features go to the driver.
+    The `sample` different texts with the smallest hashes train the scorer, each once however many copies it
+    has (texts whose hashes tie count as one); no more than that many rows of features go to the driver, on any run the same.
     A document goes only if bad is clearly the likelier, hence a cut below one half.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -189,9 +194,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     post, _, _ = expectation_maximisation(pattern, np.array([r["count"] for r in seen], float))
     of = dict(zip(code.tolist(), post.tolist(), strict=True))
 
-    total = sum(r["count"] for r in seen)
-    share = min(1.0, sample / max(total, 1))
-    picked = rows.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("pattern", "buckets", "weights").limit(2 * sample).toPandas()
+    different = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    some = rows.filter(hash_below("h", min(1.0, 1.5 * (sample + 100) / max(different, 1))))  # more than enough, so that few are sorted
+    some = some.dropDuplicates(["h"]).orderBy("h")
+    picked = some.limit(sample).select("pattern", "buckets", "weights").toPandas()
     size = [len(x) for x in picked["buckets"]]
     flat_of = lambda c: np.concatenate([np.asarray(x, float) for x in picked[c]]) if len(picked) else np.zeros(0)
     w, bias = fitted(np.repeat(np.arange(len(picked)), size), flat_of("buckets").astype(np.int64), flat_of("weights"), np.array([of[p] for p in picked["pattern"]]))
