@@ -123,3 +123,31 @@ def test_specs_survive_json(fun, args):
     np.testing.assert_array_equal(again(at), b(at))
     assert again.cen == 2.0
     assert again.intercept == b.intercept
+
+
+def test_strata_are_missing_beyond_the_outer_edges():
+    b = fit_basis(Data(np.arange(1.0, 7)), "strata", breaks=[2.5, 4.5])
+    np.testing.assert_array_equal(b(np.array([1, 3, 5, 6])), [[0, 0], [1, 0], [0, 1], [0, 1]])
+    assert np.isnan(b(np.array([100.0, -3, 6.2]))).all()
+    with pytest.raises(ValueError, match="differ"):
+        fit_basis(Data(np.concatenate([np.zeros(60), np.linspace(1, 50, 40)])), "strata", df=4)
+    with pytest.raises(ValueError, match="differ"):
+        fit_basis(Data(np.full(50, 3.0)), "strata", df=3)
+
+
+def test_strata_in_a_frame_are_null_beyond_the_edges(spark):
+    b = fit_basis(Data(np.arange(1.0, 7)), "strata", breaks=[2.5, 4.5])
+    rows = with_basis(spark.createDataFrame([(2.0,), (5.0,), (100.0,)], "x double"), "x", b).collect()
+    assert [tuple(r)[1:] for r in rows[:2]] == [(0.0, 0.0), (0.0, 1.0)]
+    assert all(v is None or np.isnan(v) for v in tuple(rows[2])[1:])
+
+
+def test_knots_that_tie_with_a_boundary():
+    with pytest.warns(UserWarning, match="boundary"):
+        b = fit_basis(Data(np.concatenate([np.zeros(60), np.linspace(0.5, 50, 20)])), "bs", df=5)
+    assert b.columns == 5
+    many = Data(np.concatenate([np.zeros(90), np.linspace(0.5, 50, 10)]))
+    with pytest.raises(ValueError, match="interior knots"):
+        fit_basis(many, "ns", df=5)
+    with pytest.warns(UserWarning, match="boundary"):
+        assert fit_basis(many, "bs", df=5).columns == 5

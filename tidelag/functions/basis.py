@@ -121,8 +121,12 @@ def _outer(t: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(t[0], order), np.repeat(t[-1], order)
 
 
-def _interior(data: Data, knots, df, given: int, limits, name: str) -> np.ndarray:
-    """Interior knots as given, or at equal quantiles of the data within the boundary."""
+def _interior(data: Data, knots, df, given: int, limits, strict: bool) -> np.ndarray:
+    """Interior knots as given, or at equal quantiles of the data within the boundary.
+
+    Quantiles on a boundary move inwards by an eighth of the way to the next knot. If all are on one, a strict
+    basis refuses and another keeps them there; both warn.
+    """
     if knots is None:
         n = 0 if df is None else int(df) - given
         if n < 0:
@@ -130,15 +134,18 @@ def _interior(data: Data, knots, df, given: int, limits, name: str) -> np.ndarra
             warnings.warn(f"'df' was too small; have used {given}", stacklevel=4)
         knots = data.quantiles(np.arange(1, n + 1) / (n + 1), limits) if n else np.zeros(0)
         inner = np.array(knots, float)
-        low, high = limits
-        edge = (inner <= low) | (inner >= high)
-        if len(inner) and edge.any() and high > low:
-            if edge.all():
-                raise ValueError(f"all interior knots of {name} lie on a boundary")
-            inside = inner[~edge]
-            inner[inner <= low] = low + (inside.min() - low) / 8
-            inner[inner >= high] = high - (high - inside.max()) / 8
-            warnings.warn("interior knots on a boundary were moved inwards", stacklevel=4)
+        for bound in limits:
+            there = inner == bound
+            if not there.any():
+                continue
+            if there.all():
+                if strict:
+                    raise ValueError(f"all interior knots lie on the boundary {bound:g}")
+                warnings.warn(f"all interior knots lie on the boundary {bound:g}", stacklevel=4)
+                continue
+            gaps = inner[~there] - bound
+            inner[there] = bound + gaps[np.abs(gaps).argmin()] / 8
+            warnings.warn(f"interior knots on the boundary {bound:g} were moved inwards", stacklevel=4)
         return np.sort(inner)
     return np.sort(np.atleast_1d(np.asarray(knots, float)))
 
@@ -165,9 +172,9 @@ def _strata(data: Data, df=1, breaks=None, ref=1, intercept=False):
         breaks = data.quantiles(np.arange(1, n + 1) / (n + 1)) if n > 0 else np.zeros(0)
     breaks = np.sort(np.atleast_1d(np.asarray(breaks, float)))
     low, high = data.range()
-    edges = np.concatenate([[low - 1e-4], breaks, [high + 1e-4]]) if np.isfinite(low) else breaks
-    if len(np.unique(np.round(breaks, 15))) < len(breaks) or (breaks == edges[0]).any():
-        raise ValueError("breaks must differ")
+    edges = np.sort(np.concatenate([[low - 1e-4], breaks, [high + 1e-4]])) if np.isfinite(low) else breaks
+    if len(np.unique(edges)) < len(edges):
+        raise ValueError("breaks must differ, also from the ends of the data")
     k = len(breaks) + 1
     if not 0 <= ref <= k or (ref == 0 and not intercept):
         raise ValueError("'ref' must be a stratum, or 0 with an intercept")
@@ -178,6 +185,9 @@ def _strata(data: Data, df=1, breaks=None, ref=1, intercept=False):
             values = np.column_stack([np.ones(k), values])
     if values.shape[1] == 0:
         values = np.ones((k, 1))
+    if np.isfinite(low):  # no stratum beyond the outer edges
+        none = np.full((1, values.shape[1]), np.nan)
+        return steps(edges, np.vstack([none, values, none])), {"breaks": breaks, "ref": ref, "intercept": bool(intercept)}
     return steps(breaks, values), {"breaks": breaks, "ref": ref, "intercept": bool(intercept)}
 
 
@@ -212,7 +222,7 @@ def _integer(data: Data, values=None, intercept=False):
 
 def _ns(data: Data, df=None, knots=None, intercept=False, boundary=None):
     limits = _limits(data, boundary)
-    inner = _interior(data, knots, df, 1 + bool(intercept), limits, "ns")
+    inner = _interior(data, knots, df, 1 + bool(intercept), limits, True)
     t = np.sort(np.concatenate([np.repeat(limits, 4), inner]))
     p = b_splines(t, 4)
     last = len(p.breaks) - 1
@@ -228,7 +238,7 @@ def _bs(data: Data, df=None, knots=None, degree=3, intercept=False, boundary=Non
     if degree < 1:
         raise ValueError("'degree' must be at least 1")
     limits = _limits(data, boundary)
-    inner = _interior(data, knots, df, degree + bool(intercept), limits, "bs")
+    inner = _interior(data, knots, df, degree + bool(intercept), limits, False)
     p = b_splines(np.sort(np.concatenate([np.repeat(limits, degree + 1), inner])), degree + 1)
     out = extended(p, 1, len(p.breaks) - 1, degree)
     out = Pieces(out.breaks, out.origin, out.coef[:, :, (0 if intercept else 1) :])

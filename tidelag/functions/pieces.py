@@ -63,6 +63,8 @@ class Pieces:
 
     def _horner(self, x: str, i: int, j: int) -> str:
         c = self.coef[i, :, j]
+        if np.isnan(c).any():
+            return "CAST(NULL AS DOUBLE)"
         top = np.flatnonzero(c)
         if not len(top):
             return literal(0)
