@@ -27,6 +27,7 @@ from ..operators.uncertainty import interval_frame, model_grid, poisson_loglik,
 from ..sources import series
 from ..sources.datasets import simulate_cities
 from . import recipes
+from .fit_sql import irls, matched
 from .plots import histogram
 from .workflow import fit_lag_model
 
@@ -608,17 +609,14 @@ def _cities(spark, d):
 
 # recipes around the models ------------------------------------------------------------------------
 
-@query("risk_set_split", "WITH f AS (SELECT o_orderkey AS id, o_custkey AS cust, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders), s AS (SELECT cust, min(t) AS enter, max(t) AS leave FROM f GROUP BY 1 HAVING min(t) < max(t)), ev AS (SELECT DISTINCT t FROM f WHERE t % 200 = 0) SELECT ev.t AS riskset, count(*) AS at_risk, CAST(sum(CASE WHEN s.leave = ev.t THEN 1 ELSE 0 END) AS BIGINT) AS cases FROM ev JOIN s ON s.enter < ev.t AND ev.t <= s.leave GROUP BY 1")
+@query("risk_set_split", """WITH f AS (SELECT o_custkey AS cust, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders),
+s AS (SELECT cust, min(t) AS enter, max(t) AS leave FROM f GROUP BY 1 HAVING min(t) < max(t)),
+e AS (SELECT enter AS t, count(*) AS n FROM s GROUP BY 1), l AS (SELECT leave AS t, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT d.t, coalesce(e.n, 0) AS e, coalesce(l.n, 0) AS l FROM (SELECT DISTINCT t FROM f) d LEFT JOIN e ON e.t = d.t LEFT JOIN l ON l.t = d.t),
+w AS (SELECT t, sum(e) OVER (ORDER BY t) - e - sum(l) OVER (ORDER BY t) + l AS at_risk, l FROM c)
+SELECT t AS riskset, CAST(at_risk AS BIGINT) AS at_risk, CAST(l AS BIGINT) AS cases FROM w WHERE at_risk > 0""")
 def _risk_sets(spark, d):
-    f = series.table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("t"))
-    follow = f.groupBy("cust").agg(F.min("t").alias("enter"), F.max("t").alias("leave")).filter("enter < leave")
-    sets = recipes.risk_sets(follow, "enter", "leave", f.filter("t % 200 = 0").select("t").distinct(), "t")
-    return sets.groupBy(F.col("t").cast("long").alias("riskset")).agg(F.count("*").alias("at_risk"), F.sum(F.col("case").cast("long")).alias("cases"))
-
-
-@query("risk_set_split_all")
-def _risk_sets_all(spark, d):
-    """At each distinct event day; risk_set_split and its SQL have each 200th day only."""
+    """At each distinct event day."""
     f = series.table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("t"))
     follow = f.groupBy("cust").agg(F.min("t").alias("enter"), F.max("t").alias("leave")).filter("enter < leave")
     sets = recipes.risk_sets(follow, "enter", "leave", f.select("t").distinct(), "t")
@@ -640,15 +638,53 @@ def _bias(spark, d):
     return rounded(recipes.bias_corrected(series.daily(spark, d), "day", "x", "q"), ["day"], ["corrected"])
 
 
+def flagship_sql() -> str:
+    """The curve exp(8 b (var - CEN)) with its 95% band, b from an iteration over the moving sums."""
+    sums = " + ".join(["x"] + [f"lag(x, {k}) OVER (ORDER BY day)" for k in range(1, 8)])
+    at = f"SELECT unnest(generate_series(0, {round(2 * (HIGH - LOW))})) * 0.5 + {LOW} AS var"
+    half = f"1.959963984540054 * sqrt(scale * v) * 8 * abs(var - {CEN})"
+    return f"WITH {DAILY}, m AS (SELECT y, {sums} AS x FROM daily), r AS (SELECT CAST(y AS DOUBLE) AS y, x FROM m WHERE x IS NOT NULL),\n{irls('r', 'poisson')},\ng AS ({at}) SELECT CAST(var AS DOUBLE) AS var, {r(f'exp(b * 8 * (var - {CEN}))', 'fit', 5)}, {r(f'exp(b * 8 * (var - {CEN}) - {half})', 'low', 5)}, {r(f'exp(b * 8 * (var - {CEN}) + {half})', 'high', 5)} FROM g, b11, v"
+
+
+@query("flagship", flagship_sql())
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Quasi-Poisson fit of the daily counts on the moving sum of the exposure over lags 0 to 7; its overall curve."""
     cb = cross_basis_of(GRID, 7, {"fun": "lin"})
     rows = with_cross_basis(series.daily(spark, folder), "x", cb, "day")
     f = fit_glm(rows, "y", cb.names(), "quasipoisson")
-    return pred.predict(cb, f, cen=CEN, at=np.arange(LOW, HIGH + 0.5, 0.5)).overall(spark)
+    return rounded(pred.predict(cb, f, cen=CEN, at=np.arange(LOW, HIGH + 0.5, 0.5)).overall(spark), ["var"], ["fit", "low", "high"], 5)
+
+
+@query("fit_binomial_slope", f"WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0e0 ELSE 0.0e0 END AS y, CAST(l_quantity AS DOUBLE) / 50 AS x FROM lineitem),\n{irls('r', 'binomial')}\nSELECT {r('a', 'intercept')}, {r('b', 'slope')}, {r('sqrt(v)', 'se')} FROM b11, v")
+def _binomial_slope(spark, d):
+    rows = series.table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity").cast("double") / 50).alias("x"))
+    f = fit_glm(rows, "y", ["x"], "binomial")
+    return rounded(spark.createDataFrame([(*map(float, f.coef), float(f.se[1]))], "intercept double, slope double, se double"), [], ["intercept", "slope", "se"])
+
+
+_SETS = "WITH l AS (SELECT l_orderkey AS s, CASE WHEN l_returnflag = 'R' THEN 1.0e0 ELSE 0.0e0 END AS y, 100 * CAST(l_discount AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) / 10 AS q FROM lineitem), k AS (SELECT s FROM l GROUP BY s HAVING sum(y) = 1 AND count(*) > 1), r AS (SELECT l.* FROM l JOIN k ON l.s = k.s)"
+
+
+@query("fit_conditional_logistic_matched", f"{_SETS},\n{matched('r')}\nSELECT 'x' AS term, {r('a', 'estimate')}, {r('sqrt(ib / (ia * ib - ic * ic))', 'se')} FROM b10, i UNION ALL SELECT 'q' AS term, {r('b', 'estimate')}, {r('sqrt(ia / (ia * ib - ic * ic))', 'se')} FROM b10, i")
+def _matched_sets(spark, d):
+    """Strata with one case each."""
+    rows = series.risk_sets(spark, d)
+    one = rows.groupBy("stratum").agg(F.sum("case").alias("cases")).filter("cases = 1").select("stratum")
+    f = fit_clogit(rows.join(one, "stratum").withColumn("q", F.col("q").cast("double") / 10), "case", ["x", "q"], "stratum")
+    return rounded(f.frame(spark), ["term"], ["estimate", "se"])
 
 
-Q["flagship"] = flagship
+@query("fit_penalized_ridge", f"""WITH {DAILY}, r AS (SELECT CAST(y AS DOUBLE) AS y, x - 5 AS u, (x - 5) * (x - 5) AS w FROM daily),
+s AS (SELECT count(*) AS n, sum(u) AS u, sum(w) AS w, sum(u * u) + 25 AS uu, sum(u * w) AS uw, sum(w * w) + 25 AS ww, sum(y) AS y, sum(u * y) AS uy, sum(w * y) AS wy FROM r),
+d AS (SELECT *, n * (uu * ww - uw * uw) - u * (u * ww - uw * w) + w * (u * uw - uu * w) AS det FROM s)
+SELECT 'Intercept' AS term, {r('(y * (uu * ww - uw * uw) - u * (uy * ww - uw * wy) + w * (uy * uw - uu * wy)) / det', 'estimate')} FROM d
+UNION ALL SELECT 'z_b1', {r('(n * (uy * ww - uw * wy) - y * (u * ww - uw * w) + w * (u * wy - uy * w)) / det', 'estimate')} FROM d
+UNION ALL SELECT 'z_b2', {r('(n * (uu * wy - uy * uw) - u * (u * wy - uy * w) + y * (u * uw - uu * w)) / det', 'estimate')} FROM d""")
+def _ridge(spark, d):
+    """A gaussian fit whose two slopes have one penalty, the identity, with parameter 25."""
+    rows = series.daily(spark, d).withColumns({"z_b1": F.col("x") - 5, "z_b2": (F.col("x") - 5) * (F.col("x") - 5)})
+    f = fit_penalized(rows, "y", ["z_b1", "z_b2"], {"z": {"parts": {"S": np.eye(2)}, "rank": {"S": 2}, "sp": {"S": 25.0}}}, "gaussian")
+    return rounded(f.frame(spark).select("term", "estimate"), ["term"], ["estimate"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
