@@ -1,6 +1,8 @@
 import datetime
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidelag.functions.basis import Data, fit_basis
@@ -8,7 +10,7 @@ from tidelag.operators.crossbasis import cross_basis_of
 from tidelag.plans import plots, recipes
 from tidelag.plans.workflow import fit_lag_model
 from tidelag.sources import datasets, series
-from tidelag.streaming.scoring import score_histories, score_stream
+from tidelag.streaming.scoring import score_lags, score_stream
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -60,7 +62,7 @@ def test_plot_frames(spark):
     risk = plots.overall_risk(m, 10)
     assert risk["histogram"].agg(F.sum("n")).first()[0] == 300
     assert risk["ticks"].count() == 5
-    assert plots.attributable_bars(m, cen=10.0).count() == 7
+    assert [r.percentile for r in plots.overall_risk(m, 10, (5, 95))["ticks"].orderBy("percentile").collect()] == [5, 95]
     both = plots.slices(spark, m.predict(10.0, at=[5, 15]), [5], [1])
     assert {r.kind for r in both.collect()} == {"var", "lag"}
 
@@ -70,10 +72,66 @@ def test_streams(spark, tmp_path):
     b = fit_basis(Data(np.linspace(0, 10, 50)), "ns", df=3)
     cb = cross_basis_of(np.linspace(0, 10, 50), (0, 1), {"fun": "lin"})
     stream = spark.readStream.schema("x double, h array<double>").parquet(f"{tmp_path}/in")
-    out = score_histories(score_stream(stream, "x", b), "h", cb)
+    out = score_stream(stream, "x", b, cb, "h")
     q = out.writeStream.format("memory").queryName("scored").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(60)
     got = {r.x: r for r in spark.table("scored").collect()}
     np.testing.assert_allclose([got[7.0].b_b1, got[7.0].b_b2, got[7.0].b_b3], b([7.0])[0])
     assert got[1.0].cb_v1_l1 == 3
     assert got[None].cb_v1_l1 is None
+
+
+def test_lags_on_a_stream(spark, tmp_path):
+    r = np.random.default_rng(6)
+    cb = cross_basis_of(np.linspace(0, 10, 50), (1, 3), {"fun": "ns", "df": 2}, {"fun": "lin"})
+    coef = r.normal(size=cb.columns)
+    series_of = {g: r.uniform(0, 10, 9) for g in "ab"}
+    schema = "g string, t long, x double"
+    for k, part in enumerate((range(0, 4), range(4, 9))):
+        rows = [(g, t, float(series_of[g][t])) for g in "ab" for t in part]
+        rows += [("a", 2, 5.0)] if k else []  # late
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = score_lags(stream, "g", "t", "x", cb, coef, 4.0).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sum(x.late for x in got) == 1
+    ref = cb.matrix(np.full((1, 3), 4.0))[0]
+    for row in got:
+        if row.late or row.t < 3:
+            assert row.eta is None
+        else:
+            past = series_of[row.g][row.t - 3 : row.t][::-1]
+            np.testing.assert_allclose(row.eta, (cb.matrix(past[None, :])[0] - ref) @ coef, atol=1e-9)
+
+
+def test_trend_preserving_correction(spark):
+    days = pd.date_range("2001-01-01", "2003-12-31")
+    r = np.random.default_rng(2)
+    s = 10 + 8 * np.sin(np.arange(len(days)) / 58) + r.normal(size=len(days))
+    o = 1.3 * s + 2 + r.normal(size=len(days))
+    df = spark.createDataFrame([(d.date(), float(a), float(b)) for d, a, b in zip(days, o, s, strict=True)], "day date, o double, s double").repartition(3)
+    shift, slope = recipes.month_corrections(df, "day", "o", "s")
+    f = pd.DataFrame({"o": o, "s": s, "m": days.month, "k": days.year * 100 + days.month, "d": days.day})
+    res = f[["o", "s"]] - f.groupby("k")[["o", "s"]].transform("mean")
+    for m in range(1, 13):
+        at = (f.m == m).to_numpy()
+        a, b = np.sort(res.s[at]), np.sort(res.o[at])
+        np.testing.assert_allclose([shift[m - 1], slope[m - 1]], [f.o[at].mean() - f.s[at].mean(), (a * b).sum() / (a * a).sum()], rtol=1e-9)
+    got = [x.corrected for x in recipes.trend_preserving(df, "day", "s", shift, slope).orderBy("day").collect()]
+    n, mean = f.groupby("k").s.transform("size"), f.groupby("k").s.transform("mean")
+    p = ((f.d - 1) / (n - 1) - 0.5).to_numpy()
+    c, b, i = np.array(shift), np.array(slope), f.m.to_numpy() - 1
+    to = np.where(p < 0, (i + 11) % 12, (i + 1) % 12)
+    blend = lambda v: (1 - np.abs(p)) * v[i] + np.abs(p) * v[to]
+    np.testing.assert_allclose(got, mean + blend(c) + (f.s - mean) * blend(b), rtol=1e-9)
+    with pytest.raises(ValueError, match="months"):
+        recipes.month_corrections(df.where("month(day) < 12"), "day", "o", "s")
+
+
+def test_period_sums(spark):
+    df = spark.createDataFrame([(datetime.date(1999, 5, 1), 1.0, 5.0), (datetime.date(2001, 5, 1), 2.0, 30.0), (datetime.date(2009, 5, 1), 4.0, 5.0)], "day date, an double, x double")
+    every = recipes.period_sums(df, "day", ["an"]).orderBy("period").collect()
+    assert [tuple(r) for r in every] == [(1990, 1.0), (2000, 6.0)]
+    heat = recipes.period_sums(df, "day", ["an"], when=F.col("x") > 20).orderBy("period").collect()
+    assert [tuple(r) for r in heat] == [(1990, 0.0), (2000, 2.0)]

@@ -35,14 +35,8 @@ def summary_frames(m: LagModel, cen=None) -> dict[str, DataFrame]:
     return {"surface": s.frame(spark), "overall": s.overall(spark), "slices": slices(spark, s, ends)}
 
 
-def overall_risk(m: LagModel, bins: int = 60) -> dict[str, DataFrame]:
+def overall_risk(m: LagModel, bins: int = 60, percentiles=(1, 10, 50, 90, 99)) -> dict[str, DataFrame]:
     """The overall curve against the minimum-risk exposure, percentile ticks, and the histogram of exposures."""
     spark, low = m.rows.sparkSession, m.minimum_risk()
-    ticks = (1, 2.5, 50, 97.5, 99)
-    marks = spark.createDataFrame([(float(p), float(v)) for p, v in zip(ticks, m.quantile(ticks), strict=True)], "percentile double, value double")
+    marks = spark.createDataFrame([(float(p), float(v)) for p, v in zip(percentiles, m.quantile(percentiles), strict=True)], "percentile double, value double")
     return {"overall": m.predict(low.value).overall(spark), "lowest": low.frame(spark), "ticks": marks, "histogram": histogram(m.rows, m.exposure, bins)}
-
-
-def attributable_bars(m: LagModel, **args) -> DataFrame:
-    """component, an, af and intervals if draws are asked for."""
-    return m.attributable(**args)

@@ -44,3 +44,46 @@ def bias_corrected(df: DataFrame, day: str, observed: str, modelled: str) -> Dat
     slopes = a.join(b, ["__m", "__i"]).groupBy("__m").agg((F.sum(F.col("__o") * F.col("__s")) / F.sum(F.col("__s") * F.col("__s"))).alias("__k"))
     out = rows.join(slopes, "__m").withColumn("corrected", F.col("__mo") + F.col("__k") * (F.col(modelled) - F.col("__mm")))
     return out.select(*df.columns, "corrected")
+
+
+def month_corrections(df: DataFrame, day: str, observed: str, modelled: str) -> tuple[list[float], list[float]]:
+    """For each month the difference of the means, and the slope of sorted observed on sorted modelled residuals from
+    the means of each month of each year, over days with both. Two times twelve numbers go to the driver."""
+    both = df.where(F.col(observed).isNotNull() & F.col(modelled).isNotNull())
+    both = both.select(F.month(day).alias("m"), F.year(day).alias("y"), F.col(day).alias("d"), F.col(observed).cast("double").alias("o"), F.col(modelled).cast("double").alias("s"))
+    own = Window.partitionBy("y", "m")
+    rows = both.select("m", "d", "o", "s", (F.col("o") - F.avg("o").over(own)).alias("ro"), (F.col("s") - F.avg("s").over(own)).alias("rs"))
+    place = lambda c: F.row_number().over(Window.partitionBy("m").orderBy(c, "d"))
+    pairs = rows.select("m", "ro", place("ro").alias("i")).join(rows.select("m", "rs", place("rs").alias("i")), ["m", "i"])
+    slopes = pairs.groupBy("m").agg((F.sum(F.col("ro") * F.col("rs")) / F.sum(F.col("rs") * F.col("rs"))).alias("slope"))
+    got = {r["m"]: r for r in rows.groupBy("m").agg((F.avg("o") - F.avg("s")).alias("shift")).join(slopes, "m").collect()}
+    if len(got) < 12:
+        raise ValueError("some months have no day with both values")
+    return [got[m]["shift"] for m in range(1, 13)], [got[m]["slope"] for m in range(1, 13)]
+
+
+def trend_preserving(df: DataFrame, day: str, modelled: str, shift: list[float], slope: list[float]) -> DataFrame:
+    """df with corrected: a day's month mean plus the shift, and its residual times the slope.
+
+    Both go over to those of the next (or last) month by the day's place in its month, from -1/2 to 1/2: a place p has
+    weight |p| on the month that it is nearer to and 1 - |p| on its own.
+    """
+    own = Window.partitionBy(F.year(day), F.month(day))
+    n = F.count("*").over(own)
+    p = F.when(n > 1, (F.dayofmonth(day) - 1) / (n - 1) - 0.5).otherwise(F.lit(0.0))
+    at = F.month(day) - 1
+
+    def blended(values: list[float]):
+        row = F.array(*[F.lit(float(v)) for v in values])
+        near = F.when(p < 0, row[(at + 11) % 12]).otherwise(row[(at + 1) % 12])
+        return (1 - F.abs(p)) * row[at] + F.abs(p) * near
+
+    mean = F.avg(modelled).over(own)
+    return df.withColumn("corrected", mean + blended(shift) + (F.col(modelled) - mean) * blended(slope))
+
+
+def period_sums(df: DataFrame, day: str, values: list[str], years: int = 10, when=None) -> DataFrame:
+    """period (its first year) and the sums of values over the days of each period for which `when` holds; periods without such days have 0."""
+    period = (F.floor(F.year(day) / years) * years).cast("int").alias("period")
+    kept = lambda v: F.col(v) if when is None else F.when(when, F.col(v)).otherwise(F.lit(0.0))
+    return df.groupBy(period).agg(*[F.sum(kept(v)).alias(v) for v in values])
