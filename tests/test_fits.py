@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from tidelag.operators.clogit import fit_clogit, stratum_terms
 from tidelag.operators.crossbasis import cross_basis_of, with_cross_basis
 from tidelag.operators.glm import Fit, Family, fit_glm, fitted
 from tidelag.operators.linalg import aliased, gram, triangular
+from tidelag.operators.predict import predict
 from tidelag.operators.penalized import cross_penalty, edf_by, fit_penalized
 from tidelag.operators.twostage import fit_groups, pooled, stacked
 from tidelag.operators.uncertainty import model_grid, poisson_loglik, qaic
@@ -192,3 +194,101 @@ def test_link_names():
     assert link_of(Fit([], np.zeros(0), np.zeros((0, 0)), "logit")) == "logit"
     assert link_of(type("M", (), {"link": "CLogLog"})()) == "cloglog"
     assert link_of(object()) is None
+
+
+def penalised_problem(spark, family, n=250):
+    r = np.random.default_rng(12)
+    x = r.uniform(0, 10, n)
+    y = r.poisson(np.exp(1 + np.sin(x))).astype(float) if family != "gaussian" else np.sin(x) + r.normal(size=n) * 0.4
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "t int, x double, y double")
+    cb = cross_basis_of(x, 0, {"fun": "ps", "df": 9})
+    return x, y, with_cross_basis(df, "x", cb, "t"), cb, cross_penalty(cb)
+
+
+def test_reml_of_a_gaussian_model_is_its_marginal_likelihood(spark):
+    """With a normal prior on penalised coefficients and a flat one on the others, integrated out exactly."""
+    x, y, rows, cb, pen = penalised_problem(spark, "gaussian")
+    m = np.column_stack([np.ones(len(x)), cb.var(x)])
+    s = np.zeros((m.shape[1],) * 2)
+    s[1:, 1:] = pen["parts"]["Svar"]
+    ev, u = np.linalg.eigh(s)
+    bent = ev > 1e-9
+    z, f = m @ u[:, bent] / np.sqrt(ev[bent]), m @ u[:, ~bent]
+    for method in ("reml", "ml"):
+        got = {sp: fit_penalized(rows, "y", cb.names(), {"cb": pen}, "gaussian", method, sp=[sp]) for sp in (0.1, 3.0)}
+        want = {}
+        for sp, fit in got.items():
+            phi = fit.extra["reml_scale"]
+            v = phi * (np.eye(len(y)) + z @ z.T / sp)
+            iv = np.linalg.inv(v)
+            b = np.linalg.solve(f.T @ iv @ f, f.T @ iv @ y)
+            e = y - f @ b
+            want[sp] = (e @ iv @ e + np.linalg.slogdet(v)[1]) / 2 + (np.linalg.slogdet(f.T @ iv @ f)[1] / 2 if method == "reml" else 0)
+        assert got[3.0].extra["reml"] - got[0.1].extra["reml"] == pytest.approx(want[3.0] - want[0.1], abs=1e-6)
+
+
+@pytest.mark.parametrize("family", ["poisson", "quasipoisson", "gaussian"])
+def test_chosen_smoothing_is_a_minimum(spark, family):
+    _, _, rows, cb, pen = penalised_problem(spark, family)
+    fit = fit_penalized(rows, "y", cb.names(), {"cb": pen}, family)
+    (best,) = fit.extra["sp"].values()
+    assert fit.extra["converged"] and fit.extra["edf_total"] == pytest.approx(fit.extra["edf"].sum())
+    for factor in (0.8, 1.25):
+        other = fit_penalized(rows, "y", cb.names(), {"cb": pen}, family, sp=[best * factor])
+        assert other.extra["reml"] >= fit.extra["reml"] - 1e-7
+
+
+def test_penalised_start_where_an_unpenalised_fit_diverges(spark):
+    r = np.random.default_rng(4)
+    x = r.gamma(2, 3, 300)
+    y = r.poisson(0.01, 300)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "t int, x double, y int")
+    cb = cross_basis_of(x, 2, {"fun": "ps", "df": 6}, {"fun": "ps", "df": 5})
+    fit = fit_penalized(with_cross_basis(df, "x", cb, "t"), "y", cb.names(), {"cb": cross_penalty(cb)}, "poisson", sp=[1.0, 1.0])
+    assert np.isfinite(fit.coef).all() and np.isfinite(fit.extra["reml"])
+
+
+def test_models_of_ones_own():
+    from types import SimpleNamespace
+
+    from tidelag.operators.glm import fit_of, link_of
+
+    class Log:
+        pass
+
+    cb = cross_basis_of(np.linspace(0, 10, 60), (0, 3), {"fun": "poly", "degree": 2}, {"fun": "lin"})
+    c = np.random.default_rng(1).normal(size=cb.columns)
+    v = np.diag(np.abs(c) + 0.1)
+    names = ["Intercept", *cb.names("cb"), *cb.names("cb2")]
+    whole = np.concatenate([[9], c, c + 5])
+    cov = np.zeros((len(names), len(names)))
+    cov[1 : 1 + len(c), 1 : 1 + len(c)] = v
+    own = SimpleNamespace(params=pd.Series(whole, index=names), cov_params=lambda: cov, model=SimpleNamespace(family=SimpleNamespace(link=Log())))
+    a = predict(cb, own, cen=5.0, at=[2, 8])
+    b = predict(cb, coef=c, vcov=v, link="log", cen=5.0, at=[2, 8])
+    np.testing.assert_allclose(a.all_fit, b.all_fit)
+    np.testing.assert_allclose(a.all_se, b.all_se)
+    assert a.is_exp
+    assert fit_of(SimpleNamespace(params={"x": 1.0}, vcov=[[2.0]], link="cloglog")).link == "cloglog"
+    assert link_of(type("Poisson", (), {})()) == "log" and link_of(type("OLS", (), {})()) == "identity" and link_of(object()) is None
+    for bad, error in ((SimpleNamespace(), TypeError), (SimpleNamespace(params=[1.0], vcov=[[1.0]]), ValueError), (SimpleNamespace(params={"x": 1.0}), TypeError)):
+        with pytest.raises(error):
+            fit_of(bad)
+
+
+def test_pooling_with_moderators():
+    r = np.random.default_rng(3)
+    z = np.column_stack([np.ones(60), r.normal(size=60)])
+    truth = np.array([[1.0, -2.0], [0.5, 0.0]])  # of each moderator
+    vcov = [np.eye(2) * 0.01 for _ in range(60)]
+    coef = z @ truth + r.normal(size=(60, 2)) * np.sqrt(0.01 + 0.04)
+    for method in ("reml", "ml"):
+        mean, v, psi = pooled(coef, vcov, 2000, z, method)
+        np.testing.assert_allclose(mean.reshape(2, 2), truth, atol=0.12)
+        np.testing.assert_allclose(np.diag(psi), 0.04, rtol=0.6)
+        assert v.shape == (4, 4)
+    assert np.trace(pooled(coef, vcov, 2000, z, "ml")[2]) < np.trace(pooled(coef, vcov, 2000, z)[2])
+    one = pooled(coef, vcov)
+    np.testing.assert_allclose(one[0], pooled(coef, vcov, moderators=np.ones(60))[0])
+    with pytest.raises(ValueError, match="method"):
+        pooled(coef, vcov, method="x")

@@ -48,6 +48,8 @@ def test_reduced_equals_full():
 def test_grids_centres_and_errors():
     np.testing.assert_allclose(pred.grid((-26.6, 33.3)), np.arange(-26, 34))
     np.testing.assert_allclose(pred.grid((-26.6, 33.3), by=2.5)[:3], [-26, -23.5, -21])
+    assert pred.grid((-26.6, 33.3), start=-10, stop=30).tolist() == list(range(-10, 31))
+    assert pred.grid((-26.6, 33.3), start=-10, stop=30, by=3).tolist() == list(range(-10, 30, 3))
     assert pred.grid((0, 1), at=[3, 1, 3]).tolist() == [1, 3]
     with pytest.warns(pred.CenteringWarning):
         assert pred.centre(None, CB, (-26.6, 33.3)) == 5
@@ -144,3 +146,69 @@ def test_components_in_one_pass_equal_separate_ones(spark, direction):
     for r in rows:
         a = attr.attribute(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, link="log", direction=direction, limits=(r.low_x, r.high_x))
         np.testing.assert_allclose([r.af, r.an], [a.af, a.an], rtol=1e-9, atol=1e-12)
+
+
+def test_draws_along_given_eigenvectors():
+    from tidelag.operators.attribution import draws_of
+
+    v = np.array([[2, 0.3], [0.3, 1]])
+    normals = np.random.default_rng(3).standard_normal((200_000, 2))
+    vectors = np.linalg.eigh(v)[1]  # rising eigenvalues
+    for u in (vectors, vectors[:, ::-1], -vectors):
+        np.testing.assert_allclose(np.cov(draws_of([0, 0], v, normals=normals, eigvecs=u)), v, atol=0.02)
+    np.testing.assert_allclose(np.cov(draws_of([0, 0], v, normals=normals)), v, atol=0.02)
+    with pytest.raises(ValueError, match="eigenvectors"):
+        draws_of([0, 0], v, normals=normals, eigvecs=np.eye(3))
+    with pytest.raises(ValueError, match="normals"):
+        draws_of([0, 0], v, normals=normals[:, :1])
+
+
+@pytest.mark.parametrize("direction", ["back", "forw"])
+def test_table_with_draws_equals_separate_components(spark, direction):
+    b = attr.draws_of(ETA, V, nsim=40, seed=5)
+    rows = attr.attribution_table(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, direction=direction, draws=b).collect()
+    blocks = attr.attribution_table(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, direction=direction, draws=b, block_rows=40).collect()
+    for r, other in zip(rows, blocks, strict=True):
+        np.testing.assert_allclose([r.an, r.af, r.an_low, r.af_high], [other.an, other.af, other.an_low, other.af_high], rtol=1e-9, atol=1e-12)
+        a = attr.attribute(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, direction=direction, limits=(r.low_x, r.high_x), draws=b)
+        np.testing.assert_allclose([r.af, r.an], [a.af, a.an], rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose([r.an_low, r.an_high], np.quantile(a.ansim, [0.025, 0.975]), rtol=1e-9, atol=1e-12)
+
+
+def test_attribution_of_histories_equals_that_of_the_series(spark):
+    from tidelag.operators.lags import with_lags
+
+    df = with_lags(data(spark), "x", "t", CB.lag, name="h", packed=True)
+    one = attr.attribute(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, limits=(5, 20))
+    two = attr.attribute(df, "h_lags", "y", CB, "t", 12.0, coef=ETA, vcov=V, limits=(5, 20))
+    three = attr.attribute(data(spark), "x", "y", CB, "t", 12.0, coef=ETA, vcov=V, limits=(5, 20), block_rows=30)
+    np.testing.assert_allclose([two.af, two.an], [one.af, one.an], rtol=1e-12)
+    np.testing.assert_allclose([three.af, three.an], [one.af, one.an], rtol=1e-12)
+    with pytest.raises(ValueError, match="histories"):
+        attr.attribute(df, "h_lags", "y", CB, "t", 12.0, coef=ETA, vcov=V, direction="forw")
+
+
+def test_each_group_has_a_season_of_its_own_days(spark):
+    from tidelag.plans.workflow import season, with_clock
+
+    rows = [("a", float(t), 0.0) for t in range(400)] + [("b", float(t), 0.0) for t in range(200, 1500)]
+    df = spark.createDataFrame(rows, "g string, t double, y double")
+    out, names, bases = season(with_clock(df, "t"), "__clock", 4, "g")
+    assert [b.columns for b in bases] == [round(4 * 400 / 365.25), round(4 * 1300 / 365.25)]
+    assert bases[0].attrs["boundary"] == (0, 399) and bases[1].attrs["boundary"] == (200, 1499)
+    got = out.where("t = 300").orderBy("g").collect()
+    for r, b, other in ((got[0], bases[0], "season_g2"), (got[1], bases[1], "season_g1")):
+        own = [r[n] for n in names if not n.startswith(other)]
+        np.testing.assert_allclose(own, b(np.array([300.0]))[0], atol=1e-10)
+        assert all(r[n] == 0 for n in names if n.startswith(other))
+
+
+def test_wide_cross_bases_in_batches(spark, monkeypatch):
+    from tidelag.operators import crossbasis
+
+    one = crossbasis.with_cross_basis(data(spark), "x", CB, "t").orderBy("t").collect()
+    monkeypatch.setattr(crossbasis, "WIDE", 0)
+    two = crossbasis.with_cross_basis(data(spark), "x", CB, "t").orderBy("t").collect()
+    cells = lambda rows: np.array([[r[n] for n in CB.names("cb")] for r in rows], float)
+    np.testing.assert_allclose(cells(one), cells(two), rtol=1e-9, atol=1e-12)
+    assert [[r[n] is None for n in CB.names("cb")] for r in one] == [[r[n] is None for n in CB.names("cb")] for r in two]

@@ -7,28 +7,37 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.basis import with_basis
 from ..functions.numeric import percentile_knots, percentile_of, quantile
 from ..functions.pieces import literal
-from .crossbasis import CrossBasis, with_cross_basis
+from .crossbasis import CrossBasis, with_cross_basis, with_history_basis
 from .glm import Fit
-from .lags import lag_sql, over
+from .lags import in_blocks, lag_sql, over
 from .linalg import reduced
 from .predict import coefficients, grid, predict
 
 
 def draws_of(coef, vcov, nsim: int = 5000, seed: int | None = None, normals=None, eigvecs=None) -> np.ndarray:
-    """Coefficient draws, one in each column: coef + U sqrt(L) Z'; eigenvectors have their largest entry positive."""
+    """Coefficient draws, one in each column: coef + U sqrt(L) Z'; eigenvectors have their largest entry positive.
+
+    With eigvecs, U is as given and L has the variance along each of its columns, in their order.
+    """
     c, v = np.asarray(coef, float).ravel(), np.atleast_2d(np.asarray(vcov, float))
-    ev, u = np.linalg.eigh((v + v.T) / 2)
-    ev, u = np.maximum(ev[::-1], 0), u[:, ::-1]
-    if eigvecs is not None:
-        u = np.asarray(eigvecs, float)
-    else:
+    v = (v + v.T) / 2
+    if eigvecs is None:
+        u = np.linalg.eigh(v)[1][:, ::-1]
         u = u * np.sign(u[np.abs(u).argmax(0), np.arange(len(c))])
+    else:
+        u = np.asarray(eigvecs, float)
+        if u.shape != v.shape:
+            raise ValueError("as many eigenvectors as coefficients")
+    along = np.maximum(((v @ u) * u).sum(0), 0)
     z = np.asarray(normals, float) if normals is not None else np.random.default_rng(seed).standard_normal((nsim, len(c)))
-    return c[:, None] + (u * np.sqrt(ev)) @ z.T
+    if z.ndim != 2 or z.shape[1] != len(c):
+        raise ValueError("a column of normals for each coefficient")
+    return c[:, None] + (u * np.sqrt(along)) @ z.T
 
 
 @dataclass
@@ -42,13 +51,18 @@ class Attribution:
     ansim: np.ndarray | None = None
 
 
-def attribute(df: DataFrame, x: str, cases: str | list[str], basis: CrossBasis, order_by: str, cen: float | None = None, model: Fit | None = None, coef=None, vcov=None, link: str | None = None, direction: str = "back", tot: bool = True, limits: tuple[float, float] | None = None, group: str | None = None, draws: np.ndarray | None = None, name: str = "cb") -> Attribution:
+def attribute(df: DataFrame, x: str, cases: str | list[str], basis: CrossBasis, order_by: str, cen: float | None = None, model: Fit | None = None, coef=None, vcov=None, link: str | None = None, direction: str = "back", tot: bool = True, limits: tuple[float, float] | None = None, group: str | None = None, draws: np.ndarray | None = None, name: str = "cb", block_rows: int | None = None) -> Attribution:
     """Numbers and fractions attributable to exposures other than cen, from past exposures (back) or to future cases (forw).
 
     The fraction is over rows with whole lag histories; the number is the fraction of all cases. Exposures
     outside limits count as cen. For forw, cases may be a list of columns, one for each lag. Reduced
     coefficients are for forw only. The sum over lags is taken in the cross-basis, never as a row for each lag.
+    For back, x may hold arrays, each row's history with its first lag first. With block_rows, lags are taken in
+    blocks of so many rows.
     """
+    histories = isinstance(df.schema[x].dataType, ArrayType)
+    if histories and direction == "forw":
+        raise ValueError("histories are for direction back")
     if direction not in ("back", "forw"):
         raise ValueError("'direction' is back or forw")
     ref = basis.var.cen if cen is None else cen
@@ -68,9 +82,12 @@ def attribute(df: DataFrame, x: str, cases: str | list[str], basis: CrossBasis,
     low, high = basis.lag
     weights = basis.weights.sum(0)
     at_ref = basis.var(np.array([float(ref)]))[0]
-    clean = F.nanvl(F.col(x).cast("double"), F.lit(None))
-    masked = clean if limits is None else F.when((clean < float(limits[0])) | (clean > float(limits[1])), F.lit(float(ref))).otherwise(clean)
-    rows = df.withColumn("__e", masked)
+
+    def masked(value):
+        clean = F.nanvl(value.cast("double"), F.lit(None))
+        return clean if limits is None else F.when((clean < float(limits[0])) | (clean > float(limits[1])), F.lit(float(ref))).otherwise(clean)
+
+    rows = df.withColumn("__e", F.transform(F.col(x), masked) if histories else masked(F.col(x)))
     many = isinstance(cases, (list, tuple))
     if many and (direction == "back" or len(cases) != high - low + 1):
         raise ValueError("a column of cases for each lag is for direction forw")
@@ -87,7 +104,7 @@ def attribute(df: DataFrame, x: str, cases: str | list[str], basis: CrossBasis,
         else:
             rows = rows.withColumn("__c", F.col("__all"))
     if direction == "back":
-        rows = with_cross_basis(rows, "__e", basis, order_by, group, "__w", check=False)
+        rows = with_history_basis(rows, "__e", basis, "__w") if histories else with_cross_basis(rows, "__e", basis, order_by, group, "__w", check=False, block_rows=block_rows)
         names, shift = basis.names("__w"), np.outer(at_ref, weights).ravel()
     else:
         rows = with_basis(rows, "__e", basis.var, "__w")
@@ -157,70 +174,86 @@ def minimum_risk(df: DataFrame, x: str, basis: CrossBasis, model: Fit | None = N
 COMPONENTS = ("total", "cold", "heat", "extreme cold", "moderate cold", "moderate heat", "extreme heat")
 
 
-def attribution_table(df: DataFrame, x: str, cases: str, basis: CrossBasis, order_by: str, cen: float, model: Fit | None = None, coef=None, vcov=None, link: str | None = None, direction: str = "back", extreme=(2.5, 97.5), nsim: int = 0, seed: int | None = None, level: float = 0.95, group: str | None = None, draws: np.ndarray | None = None, name: str = "cb") -> DataFrame:
-    """component, low_x, high_x, an, af and, with draws, an_low, an_high, af_low, af_high; all components share the draws."""
+def attribution_table(df: DataFrame, x: str, cases: str, basis: CrossBasis, order_by: str, cen: float, model: Fit | None = None, coef=None, vcov=None, link: str | None = None, direction: str = "back", extreme=(2.5, 97.5), nsim: int = 0, seed: int | None = None, level: float = 0.95, group: str | None = None, draws: np.ndarray | None = None, name: str = "cb", block_rows: int | None = None) -> DataFrame:
+    """component, low_x, high_x, an, af and, with draws, an_low, an_high, af_low, af_high; all components share the draws.
+
+    All components and draws are one pass over one window.
+    """
     c, v, link = coefficients(model, coef, vcov, name, "cb", basis.columns, link)
-    r = df.agg(F.min(F.nanvl(F.col(x).cast("double"), F.lit(None))).alias("a"), F.max(F.nanvl(F.col(x).cast("double"), F.lit(None))).alias("b")).first()
+    if link is not None and link not in ("log", "logit"):
+        raise ValueError("attribution needs a log or logit link")
+    clean = F.nanvl(F.col(x).cast("double"), F.lit(None))
+    r = df.agg(F.min(clean).alias("a"), F.max(clean).alias("b")).first()
     cold, heat = percentile_knots(df, x, extreme)
     cold, heat = min(cold, cen), max(heat, cen)
     spans = [(r.a, r.b), (r.a, cen), (cen, r.b), (r.a, cold), (cold, cen), (cen, heat), (heat, r.b)]
     if draws is None and nsim:
         draws = draws_of(c, v, nsim, seed)
-    if draws is None:
-        if link is not None and link not in ("log", "logit"):
-            raise ValueError("attribution needs a log or logit link")
-        got = _components(df, x, cases, basis, order_by, float(cen), c, direction, spans, group)
-        out = [(part, float(a), float(b), an, af) for part, (a, b), (af, an) in zip(COMPONENTS, spans, got, strict=True)]
-        return df.sparkSession.createDataFrame(out, "component string, low_x double, high_x double, an double, af double")
+    many = c[:, None] if draws is None else np.column_stack([c, np.asarray(draws, float)])
+    af, an = _components(df, x, cases, basis, order_by, float(cen), many, direction, spans, group, block_rows)
+    ends = [(1 - level) / 2, 1 - (1 - level) / 2]
     out = []
-    for part, span in zip(COMPONENTS, spans, strict=True):
-        a = attribute(df, x, cases, basis, order_by, cen, coef=c, vcov=v, link=link, direction=direction, limits=span, group=group, draws=draws)
-        row = [part, float(span[0]), float(span[1]), float(a.an), float(a.af)]
+    for k, (part, (a, b)) in enumerate(zip(COMPONENTS, spans, strict=True)):
+        row = [part, float(a), float(b), float(an[k, 0]), float(af[k, 0])]
         if draws is not None:
-            q = [(1 - level) / 2, 1 - (1 - level) / 2]
-            row += [*map(float, quantile(a.ansim, q)), *map(float, quantile(a.afsim, q))]
+            row += [*map(float, quantile(an[k, 1:], ends)), *map(float, quantile(af[k, 1:], ends))]
         out.append(tuple(row))
     schema = "component string, low_x double, high_x double, an double, af double" + (", an_low double, an_high double, af_low double, af_high double" if draws is not None else "")
     return df.sparkSession.createDataFrame(out, schema)
 
 
-def _components(df: DataFrame, x: str, cases: str, basis: CrossBasis, order_by: str, cen: float, coef: np.ndarray, direction: str, spans, group: str | None) -> list[tuple[float, float]]:
-    """af and an of exposures within each span, in one pass over one window.
+#: Products of rows and coefficient vectors that are held at once.
+CELLS = 1 << 20
+
 
-    An exposure outside a span counts as cen, so its centred basis is 0 there: each lag's contribution is a
-    number that a span keeps or sets to 0, and no basis column is lagged.
+def _components(df: DataFrame, x: str, cases: str, basis: CrossBasis, order_by: str, cen: float, coefs: np.ndarray, direction: str, spans, group: str | None, block_rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """af and an (a row for each span, a column for each coefficient vector), in one pass over one window.
+
+    A row carries its exposures at all lags. An exposure outside a span counts as cen, so its centred basis is 0
+    there: each lag's part is kept or set to 0 before it is contracted with the lag weights.
     """
     if direction not in ("back", "forw"):
         raise ValueError("'direction' is back or forw")
     low, high = basis.lag
-    w, at_ref = over(order_by, group), basis.var(np.array([cen]))[0]
-    own = basis.var.names("__r")
-    rows = df.withColumn("__e", F.nanvl(F.col(x).cast("double"), F.lit(None))).withColumn("__all", F.nanvl(F.col(cases).cast("double"), F.lit(None)))
-    rows = with_basis(rows, "__e", basis.var, "__r")
-    weights = basis.weights if direction == "back" else basis.weights.sum(0)[None, :]
-    slopes = weights @ coef.reshape(basis.df).T  # of each lag, for each basis column
-    parts = [F.expr(" + ".join(f"({r} - {literal(a)}) * {literal(b)}" for r, a, b in zip(own, at_ref, s, strict=True))).alias(f"__g{k}") for k, s in enumerate(slopes)]
-    rows = rows.select(f"`{order_by}`", *([f"`{group}`"] if group else []), "__e", "__all", *parts)
-    inside = [f"__e BETWEEN {literal(a)} AND {literal(b)}" for a, b in spans]
-    kept = [F.expr(f"CASE WHEN {i} THEN __g{k} ELSE 0 * __g{k} END").alias(f"__m{c}_{k}") for c, i in enumerate(inside) for k in range(len(slopes))]
-    rows = rows.select("*", *kept)
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    reach = basis.lag if direction == "back" else (-high, -low)
+    source = in_blocks(df, order_by, group, reach, block_rows) if block_rows else df
+    w = over(order_by, group, bool(block_rows))
+    keys = [f"`{order_by}`", *([f"`{group}`"] if group else []), *(["__block", "__own"] if block_rows else [])]
+    rows = source.select(*keys, number(x).alias("__x"), number(cases).alias("__n"))
     if direction == "back":
-        eta = [" + ".join(lag_sql(f"__m{c}_{k}", low + k, w) for k in range(len(slopes))) for c in range(len(spans))]
-        number = "__all"
+        lagged, count, weights = [lag_sql("__x", k, w) for k in range(low, high + 1)], "__n", basis.weights
     else:
-        eta = [f"__m{c}_0" for c in range(len(spans))]
-        number = f"({' + '.join(lag_sql('__all', -k, w) for k in range(low, high + 1))}) / {high - low + 1}"
-    rows = rows.select("__all", F.expr(number).alias("__c"), *[F.expr(f"1 - exp(-({e}))").alias(f"__af{c}") for c, e in enumerate(eta)])
-    sums = [F.sum("__all").alias("all")]
-    for c in range(len(spans)):
-        an = F.col(f"__af{c}") * F.col("__c")
-        sums += [F.sum(an).alias(f"an{c}"), F.sum(F.when(an.isNotNull(), F.col("__c"))).alias(f"n{c}")]
-    got = rows.agg(*sums).first()
-    out = []
-    for c in range(len(spans)):
-        af = got[f"an{c}"] / got[f"n{c}"] if got[f"n{c}"] else float("nan")
-        out.append((af, af * (got["all"] or 0.0)))
-    return out
+        lagged, weights = ["__x"], basis.weights.sum(0)[None, :]
+        count = f"({' + '.join(lag_sql('__n', -k, w) for k in range(low, high + 1))}) / {high - low + 1}"
+    own = [f"__x{k}" for k in range(len(lagged))]
+    rows = rows.select(*(["__own"] if block_rows else []), *[F.expr(e).alias(n) for e, n in zip(lagged, own, strict=True)], F.expr(count).alias("__c"), "__n")
+    rows = rows.where("__own") if block_rows else rows
+    at_ref, width, nv = basis.var(np.array([cen]))[0], len(own), basis.df[0]
+
+    def one(m: np.ndarray) -> np.ndarray:
+        """For each span its number and, in the last column, its cases; a last row has all cases."""
+        total = np.zeros((len(spans) + 1, coefs.shape[1] + 1))
+        total[-1, -1] = np.nansum(m[:, -1])
+        m = m[np.isfinite(m[:, : width + 1]).all(1)]
+        step = max(1, CELLS // coefs.shape[1])
+        for k in range(0, len(m), step):
+            past, c = m[k : k + step, :width], m[k : k + step, width]
+            centred = (basis.var(past.ravel()) - at_ref).reshape(len(past), width, nv)
+            whole = np.isfinite(centred).all((1, 2))
+            for i, (a, b) in enumerate(spans):
+                inside = ((past >= a) & (past <= b))[:, :, None]
+                cross = np.einsum("nkv,kl->nvl", np.where(inside, centred, 0.0), weights).reshape(len(past), -1)
+                total[i, :-1] += c[whole] @ -np.expm1(-(cross[whole] @ coefs))
+                total[i, -1] += c[whole].sum()
+        return total
+
+    got = reduced(rows, [*own, "__c", "__n"], one, lambda p, q: p + q)
+    if got is None:
+        got = np.zeros((len(spans) + 1, coefs.shape[1] + 1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        af = got[:-1, :-1] / got[:-1, -1:]
+    return af, af * got[-1, -1]
 
 
 def overall_at(basis: CrossBasis, coef, vcov, values, cen: float, link: str = "log", level: float = 0.95):

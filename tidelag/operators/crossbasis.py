@@ -109,12 +109,47 @@ def with_history_basis(df: DataFrame, column: str, cb: CrossBasis, name: str = "
     return _contracted(rows, df.columns, cb, name)
 
 
+#: Products above which sums over lags are taken in Arrow batches: their code would be too large to compile.
+WIDE = 250
+
+
 def _contracted(rows: DataFrame, keep: list[str], cb: CrossBasis, name: str) -> DataFrame:
     c = cb.weights
+    if cb.columns * len(c) > WIDE:
+        from pyspark.sql.functions import pandas_udf
+
+        parts = cb.df[0]
+
+        @pandas_udf("array<double>")
+        def sums(flat):
+            import numpy as np
+            import pandas as pd
+
+            none = np.full(parts * len(c), np.nan)
+            held = np.array([none if v is None else v for v in flat], float).reshape(-1, parts, len(c))
+            out = np.einsum("nvk,kl->nvl", held, c).reshape(len(held), -1)
+            return pd.Series(list(out))
+
+        known = F.transform(F.flatten(F.array(*[f"__q{i}" for i in range(parts)])), lambda v: F.coalesce(v, F.lit(float("nan"))))
+        wide = rows.withColumn("__w", sums(known))
+        value = lambda i: F.nanvl(F.col("__w")[i], F.lit(None).cast("double"))
+        return wide.select(*keep, *[value(i).alias(n) for i, n in enumerate(cb.names(name))])
     cells = [F.expr(contraction(f"__q{i}", c[:, j])) for i in range(cb.df[0]) for j in range(cb.df[1])]
     return rows.select(*keep, *[e.alias(n) for e, n in zip(cells, cb.names(name), strict=True)])
 
 
+def described(attrs: dict[str, Any]) -> str:
+    """The arguments of a basis in a line: numbers short, matrices by their size, those without a value left out."""
+    parts = []
+    for key, value in attrs.items():
+        if value is None:
+            continue
+        v = np.asarray(value) if isinstance(value, (np.ndarray, list, tuple)) else None
+        shown = str(value) if v is None else f"matrix of {' by '.join(map(str, v.shape))}" if v.ndim > 1 else " ".join(f"{x:g}" for x in v)
+        parts.append(f"{key}: {shown}")
+    return "; ".join(parts)
+
+
 def summary(cb: CrossBasis) -> str:
     """A few lines of text."""
-    return f"cross-basis of {cb.columns} columns\nvar: {cb.var.fun}, {cb.df[0]} columns, range {cb.range[0]:g} to {cb.range[1]:g}\nlag: {cb.lag_basis.fun}, {cb.df[1]} columns, {cb.lag[0]} to {cb.lag[1]}"
+    return f"cross-basis of {cb.columns} columns\nvar: {cb.var.fun}, {cb.df[0]} columns, range {cb.range[0]:g} to {cb.range[1]:g}\n  {described(cb.var.attrs)}\nlag: {cb.lag_basis.fun}, {cb.df[1]} columns, {cb.lag[0]} to {cb.lag[1]}\n  {described(cb.lag_basis.attrs)}"

@@ -71,6 +71,11 @@ class Fit:
     def se(self) -> np.ndarray:
         return np.sqrt(np.maximum(np.diag(self.vcov), 0))
 
+    @property
+    def edf_total(self) -> float:
+        """Effective degrees of freedom; of a fit without penalties the number of coefficients."""
+        return float(np.sum(self.extra["edf"])) if "edf" in self.extra else float(len(self.coef))
+
     def summary(self) -> str:
         """A few lines of text."""
         rows = "\n".join(f"{n:<24} {c: .6g} ({s:.3g})" for n, c, s in zip(self.names, self.coef, self.se, strict=True))
@@ -82,7 +87,7 @@ class Fit:
 
     def select(self, name: str, kind: str = "cb", columns: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients and covariance of a (cross-)basis by its column names; `cb` never matches `cb2`."""
-        pattern = rf"^{re.escape(name)}[._]" + (r"v(\d+)[._]l(\d+)$" if kind == "cb" else r"b(\d+)$")
+        pattern = rf"^{re.escape(name)}[._]?" + (r"v(\d+)[._]l(\d+)$" if kind == "cb" else r"b(\d+)$")
         found = sorted((tuple(map(int, m.groups())), i) for i, n in enumerate(self.names) if (m := re.match(pattern, n)))
         at = [i for _, i in found]
         if not at and columns == 1 and name in self.names:
@@ -92,10 +97,45 @@ class Fit:
         return self.coef[at], self.vcov[np.ix_(at, at)]
 
 
+#: Names of links, those that hold another first; and links of kinds of models without a family.
+LINKS = ("cloglog", "loglog", "logit", "probit", "log", "identity", "inverse")
+KINDS = {"logit": "logit", "conditionallogit": "logit", "conditionalmnlogit": "logit", "poisson": "log", "negativebinomial": "log", "phreg": "log", "conditionalpoisson": "log", "ols": "identity", "wls": "identity", "gls": "identity", "mixedlm": "identity"}
+
+
 def link_of(model) -> str | None:
-    """Link of a fit, or of a model of one's own by its `link` text; compound names (cloglog) before those within them."""
-    text = str(getattr(model, "link", "") or "").lower()
-    return next((k for k in ("cloglog", "loglog", "logit", "probit", "log", "identity") if k in text), None)
+    """Link of a fit, or of a model of one's own: its `link` text, its family's link, or what its kind implies."""
+    if model is None:
+        return None
+    if isinstance(getattr(model, "link", None), str):
+        text = model.link.lower()
+        return next((k for k in LINKS if k in text), None)
+    inner = getattr(model, "model", model)
+    link = getattr(getattr(inner, "family", None), "link", None)
+    if link is not None:
+        text = (link if isinstance(link, str) else type(link).__name__).lower()
+        return next((k for k in LINKS if k in text), text)
+    return KINDS.get(type(inner).__name__.lower())
+
+
+def fit_of(model) -> Fit:
+    """A model of one's own as a Fit: named `params` (a Series or a dict) and `cov_params()` or `vcov`."""
+    if isinstance(model, Fit):
+        return model
+    params = getattr(model, "params", None)
+    if params is None:
+        raise TypeError("a model must have params, or coef and vcov are given instead")
+    index = params if isinstance(params, dict) else getattr(params, "index", ())
+    names = [] if callable(index) else list(index)
+    if not names:
+        raise ValueError("a model's params must have names")
+    values = np.array(list(params.values()) if isinstance(params, dict) else params, float)
+    if callable(getattr(model, "cov_params", None)):
+        vcov = model.cov_params()
+    elif hasattr(model, "vcov"):
+        vcov = model.vcov
+    else:
+        raise TypeError("a model must have cov_params() or vcov")
+    return Fit([str(n) for n in names], values, np.asarray(vcov, float), link_of(model))
 
 
 def with_terms(df: DataFrame, terms: list[str], intercept: bool = True) -> tuple[DataFrame, list[str]]:

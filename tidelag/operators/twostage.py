@@ -58,18 +58,28 @@ def stacked(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return c, [np.array(r.vcov, float).reshape(c.shape[1], -1) for r in got]
 
 
-def pooled(coef: np.ndarray, vcov: list[np.ndarray], rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random-effects mean, its covariance, and the covariance between groups, by restricted maximum likelihood (EM)."""
+def pooled(coef: np.ndarray, vcov: list[np.ndarray], rounds: int = 200, moderators: np.ndarray | None = None, method: str = "reml") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random-effects mean, its covariance, and the covariance between groups, by EM on the restricted ("reml") or plain ("ml") likelihood.
+
+    With moderators (a row for each group; an intercept is a column of ones) the mean of a group is linear in
+    them: the result holds, moderator by moderator, k coefficients each.
+    """
+    if method not in ("reml", "ml"):
+        raise ValueError("'method' is reml or ml")
     m, k = coef.shape
+    z = np.ones((m, 1)) if moderators is None else np.asarray(moderators, float).reshape(m, -1)
+    design = [np.kron(row[None, :], np.eye(k)) for row in z]
     psi = np.cov(coef.T).reshape(k, k) if m > 1 else np.zeros((k, k))
     for _ in range(rounds):
         w = [np.linalg.inv(s + psi) for s in vcov]
-        v = np.linalg.inv(sum(w))
-        mean = v @ sum(a @ c for a, c in zip(w, coef, strict=True))
+        v = np.linalg.inv(sum(x.T @ a @ x for a, x in zip(w, design, strict=True)))
+        mean = v @ sum(x.T @ a @ c for a, x, c in zip(w, design, coef, strict=True))
         new = np.zeros((k, k))
-        for a, c in zip(w, coef, strict=True):
-            e = psi @ a @ (c - mean)
-            new += np.outer(e, e) + psi - psi @ a @ psi + psi @ a @ v @ a @ psi
+        for a, x, c in zip(w, design, coef, strict=True):
+            e = psi @ a @ (c - x @ mean)
+            new += np.outer(e, e) + psi - psi @ a @ psi
+            if method == "reml":
+                new += psi @ a @ x @ v @ x.T @ a @ psi
         new /= m
         done = np.abs(new - psi).max() < 1e-10 * (np.abs(psi).max() + 1e-10)
         psi = new
