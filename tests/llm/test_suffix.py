@@ -122,6 +122,8 @@ def test_merged_transforms_decide(spark, monkeypatch):
 def test_pieces_of_long_runs_and_very_long_texts(spark, monkeypatch):
     monkeypatch.setattr(s, "PIECE", 50)
     long = "".join(random.Random(3).choices("abcdefghij ", k=1_300_000))
+    _, _, first, last = s.runs(*flat(["ab" * 900, "a" * 1500]), 400, 80)
+    assert (last - first).max() == 49
     texts = ["ab" * 900, "a" * 1500, long, "x" * 30 + long[700_000:700_450] + "y" * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     got = {r.doc_id: [x.runs for x in r.found] for r in s.repeated_spans(df).collect()}

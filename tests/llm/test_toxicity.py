@@ -16,43 +16,49 @@ def edits(a: str, b: str) -> int:
 
 
 def test_automaton_against_edit_distance():
-    lexicon = {"loser$": 3.0, "moron$": 3.0, "scum$": 3.0, "pathetic$": 4.0, "lowe": 5.0, "größe$": 2.0}
+    lexicon = ["loser", "moron", "scum", "pathetic", "lowe", "größe", "md"]
     a = t.Automaton(lexicon)
-    r, words = random.Random(1), ["loser", "lose", "losers", "xloser", "lser", "lowe", "lowen", "lows", "scum", "scums", "pathetic", "patetic", "pathetical", "moronic", "größe", "grösse", "größen", "l", "lo", "verylongwordindeed"]
+    r, words = random.Random(1), ["loser", "lose", "losers", "xloser", "lser", "lowe", "lowen", "lows", "scum", "scums", "pathetic", "patetic", "pathetical", "moronic", "größe", "grösse", "größen", "l", "lo", "m", "verylongwordindeed"]
     for _ in range(3000):
-        w = list(r.choice(["loser", "moron", "scum", "pathetic", "lowe", "größe"]))
+        w = list(r.choice(["loser", "moron", "scum", "pathetic", "lowe", "größe", "md"]))
         for _ in range(r.randint(0, 3)):
             k = r.randint(0, len(w))
             w[k : k + r.randint(0, 1)] = r.choice(["", "a", "o", "ß", "r"])
         words.append("".join(w) or "q")
-    got = a.run(words)
-    for w, g in zip(words, got.tolist(), strict=True):
-        full = any(w == x[:-1] if x.endswith("$") else w.startswith(x) for x in lexicon)
-        near = any(edits(w, x[:-1]) <= 1 for x in lexicon if x.endswith("$") and len(x) > t.FUZZY)
-        assert g == (2 if full else 1 if near else 0), w
-    assert t.Automaton({}).run(["a", "b"]).tolist() == [0, 0]
+    for w, g in zip(words, a.run(words).tolist(), strict=True):
+        near = any(edits(w, x) <= 1 for x in lexicon if len(x) >= t.FUZZY)
+        assert g == (2 if w in lexicon else 1 if near else 0), w
+    assert t.Automaton([]).run(["a", "b"]).tolist() == [0, 0]
 
 
-def test_terms_are_short_and_precise():
-    table = [("lowe", 50, 0), ("lowen$", 20, 0), ("lo", 80, 75), ("idiot$", 60, 0), ("the$", 90, 880), ("rare$", 1, 0)]
-    got = t.chosen(table, 100, 900)
-    assert set(got) == {"lowe", "idiot$"}
+def test_lexicon_holds_precise_words_at_any_size():
+    table = [("idiot", 60, 0), ("moron", 4, 0), ("often", 60, 4), ("the", 90, 880), ("rare", 2, 0), ("some", 30, 20)]
+    assert set(t.lexicon_of(table, 100, 900)) == {"idiot", "moron", "often"}
+    many = [(w, 1000 * p, 1000 * n) for w, p, n in table] + [("scum", 4, 0)]
+    assert {"idiot", "moron", "often", "scum"} <= set(t.lexicon_of(many, 100_000, 900_000))
+    assert len(t.lexicon_of([(f"beispiel{i}", 30, 0) for i in range(300)], 100, 900)) == 300
 
 
-def test_misspelled_words_that_a_beginning_stands_for():
+def test_misspelled_words_of_the_lexicon():
     words = ["idiot", "moron", "clown", "stupid", "pathetic", "worthless", "scum"]
-    counts = {x: (60, 0) for w in words for x in t.terms_of({w})} | {f"beispiel{i}$": (30, 0) for i in range(300)}
-    table = [(x, pos, neg) for x, (pos, neg) in counts.items()]
-    lexicon = t.chosen(table, 100, 900)
-    assert "idi" in lexicon
-    assert "idiot$" not in lexicon
-    assert len(lexicon) > 300
-    a = t.Automaton(lexicon, t.spelled(table, 100, 900))
+    a = t.Automaton(words)
     wrong = ["1diot", "m0ron", "c1own", "st0pid", "pthetic", "wrthless", "skum"]
     assert a.run(wrong).tolist() == [1] * len(wrong)
     assert a.run(words).tolist() == [2] * len(words)
     assert a.run(["house", "md", "pthtic", "wrthlss"]).tolist() == [0] * 4
-    assert t.Automaton({"scumbags": 3.0}).run(["scumbagsy", "scunbagsy", "scxxbagsy"]).tolist() == [2, 1, 0]
+
+
+def test_places_are_of_the_lower_cased_text():
+    quoted = "İ" * 40 + ' the word "idiot" was used'
+    assert t.features(quoted, {"idiot": 2})[6] == 1.0
+
+
+def test_time_in_proportion_to_the_hits():
+    import time
+
+    start = time.time()
+    t.features("idiot " * 100_000, {"idiot": 2})
+    assert time.time() - start < 5
 
 
 def test_windows_tell_quotation_from_abuse():

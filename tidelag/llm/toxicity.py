@@ -1,8 +1,6 @@
 """Toxicity: a learned lexicon, Levenshtein automata over its trie, and scores of context windows.
 
-The lexicon holds words and word beginnings that mark toxic documents among the training rows;
-all its full words may be misspelled, also those that a beginning stands for.
-Its trie, intersected with the Levenshtein automaton of one edit, is made one deterministic
+The lexicon holds the words that mark toxic documents among the training rows. Its trie, intersected with the Levenshtein automaton of one edit, is made one deterministic
 automaton, which all distinct words of a batch run through at once; a misspelling must not be a
 word of clean training texts. Hits are weighed in a window of words around them (other hits,
 quotation marks, reporting verbs), and a logistic model of the window features gives the score.
@@ -33,8 +31,8 @@ from .common import hash_below, per_slice, stored
 HELD, WINDOW = 1, 8
 #: Training rows at most.
 TRAIN_ROWS = 60_000
-#: Code points of word beginnings, and the least of a word and of a beginning that may be misspelled.
-BEGIN, FUZZY, FUZZY_BEGIN = range(3, 9), 4, 6
+#: Toxic training texts that a word of the lexicon is in at least, and its least code points to be misspelled.
+LEAST, FUZZY = 3, 4
 #: Quotation marks, and verbs of reporting and calling.
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset("said says wrote called quoted reported quote word term dit sagte dijo".split())
@@ -42,50 +40,27 @@ _WORD = re.compile(r"\w+")
 FEATURES = 9
 
 
-def terms_of(words: set[str]) -> set[str]:
-    """Words (with an end mark) and their beginnings."""
-    out = {w + "$" for w in words}
-    for k in BEGIN:
-        out |= {w[:k] for w in words if len(w) > k}
-    return out
-
+def lexicon_of(table: list[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, float]:
+    """Log-odds of the words that mark toxic texts: table has each word's toxic texts and others.
 
-def precise(table: list[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, tuple[float, int]]:
-    """Log-odds and toxic texts of the terms that are frequent in these and rare in others."""
-    least = max(3, positives // 100)
-    kept: dict[str, tuple[float, int]] = {}
-    for term, pos, neg in table:
+    A word counts if the odds of it are surely higher in toxic texts: by a factor of e or more, two standard errors
+    down, and in toxic texts nine times as often as in others. The rule is the same at any number of texts.
+    """
+    out = {}
+    for word, pos, neg in table:
         odds = float(np.log((pos + 0.5) / (positives + 1)) - np.log((neg + 0.5) / (negatives + 1)))
-        if pos >= least and pos >= 9 * neg and odds >= 2.5:
-            kept[term] = (odds, pos)
-    return kept
-
-
-def chosen(table: list[tuple[str, int, int]], positives: int, negatives: int) -> dict[str, float]:
-    """Log-odds of the terms that mark toxic texts: frequent, precise, and no longer than need be."""
-    kept = precise(table, positives, negatives)
-    out: dict[str, tuple[float, int]] = {}
-    for term in sorted(kept, key=lambda t: (len(t.rstrip("$")), t.endswith("$"), t)):
-        word = term.rstrip("$")
-        above = [word[:k] for k in range(1, len(word)) if word[:k] in out]
-        if word in out or any(out[a][0] >= kept[term][0] - 1.5 for a in above):
-            continue
-        out[term] = kept[term]
-    return {t: odds for t, (odds, _) in out.items()}
-
-
-def spelled(table: list[tuple[str, int, int]], positives: int, negatives: int) -> set[str]:
-    """All precise full words, those too that a shorter term stands for: a misspelling of them need not begin like that term."""
-    return {t for t in precise(table, positives, negatives) if t.endswith("$")}
+        if pos >= LEAST and pos >= 9 * neg and odds - 2 * (1 / (pos + 0.5) + 1 / (neg + 0.5)) ** 0.5 >= 1:
+            out[word] = odds
+    return out
 
 
 class Automaton:
-    """Accepts the lexicon's terms and the words exactly (2) or with one edit (1); words end with an end mark."""
+    """Accepts the lexicon's words exactly (2), and those of FUZZY letters or more with one edit (1); inside, words end with an end mark."""
 
-    def __init__(self, lexicon: dict[str, float], words: Collection[str] = ()) -> None:
+    def __init__(self, lexicon: Collection[str]) -> None:
         nodes: list[dict[str, int]] = [{}]
         exact, fuzzy = set(), set()
-        terms = sorted({*lexicon, *words})
+        terms = sorted(w + "$" for w in lexicon)
         for term in terms:
             at = 0
             for c in term:
@@ -94,7 +69,7 @@ class Automaton:
                     nodes.append({})
                 at = nodes[at][c]
             exact.add(at)
-            if len(term.rstrip("$")) >= (FUZZY if term.endswith("$") else FUZZY_BEGIN):
+            if len(term) > FUZZY:
                 fuzzy.add(at)
         self.letters = {c: i for i, c in enumerate(sorted({c for n in nodes for c in n} | {"$"}))}
         other = len(self.letters)
@@ -143,7 +118,7 @@ class Automaton:
             self.classes[ord(c)] = i
 
     def run(self, words: list[str]) -> np.ndarray:
-        """2 (a term), 1 (a misspelled term) or 0 for each word."""
+        """2 (a word of the lexicon), 1 (one misspelled) or 0 for each word."""
         if not words or not self.longest:
             return np.zeros(len(words), np.int8)
         text = np.array([(w + "$")[: self.longest] for w in words])
@@ -215,8 +190,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
 def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS):
     """Automaton, misspellings that clean texts have, and weights.
 
-    At most about `rows` labelled rows train it, chosen by a hash of the id; terms are counted on the
-    executors, and those of toxic texts that pass a support come to the driver.
+    At most about `rows` labelled rows train it, chosen by a hash of the id; words are counted on the
+    executors, and those of LEAST toxic texts that are rare in others come to the driver: no more than that sample has.
     """
     given = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y"))
     given = given.filter(F.pmod(F.crc32(F.col("l_id").cast("string")), F.lit(3)) != HELD).groupBy("l_id").agg(F.max("y").alias("y"))
@@ -231,18 +206,17 @@ def model_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         pos: Counter = Counter()
         neg: Counter = Counter()
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            (pos if y == 1 else neg).update(terms_of(set(_WORD.findall((text or "").lower()))))
-        terms = list(pos | neg)
-        return {"term": terms, "pos": [pos[t] for t in terms], "neg": [neg[t] for t in terms]}
+            (pos if y == 1 else neg).update(set(_WORD.findall((text or "").lower())))
+        words = list(pos | neg)
+        return {"word": words, "pos": [pos[w] for w in words], "neg": [neg[w] for w in words]}
 
     sides = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positives, negatives = sides.get(1, 0), sum(n for y, n in sides.items() if y != 1)
     if not positives or not negatives:
         return None
-    sums = per_slice(train, "text", counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    table = sums.filter((F.col("pos") >= max(3, positives // 100)) & (F.col("pos") >= 9 * F.col("neg"))).collect()
-    table = [(r.term, r.pos, r.neg) for r in table]
-    automaton = Automaton(chosen(table, positives, negatives), spelled(table, positives, negatives))
+    sums = per_slice(train, "text", counted, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    table = sums.filter((F.col("pos") >= LEAST) & (F.col("pos") >= 9 * F.col("neg"))).collect()
+    automaton = Automaton(lexicon_of([(r.word, r.pos, r.neg) for r in table], positives, negatives))
 
     def misspelled(batch: pa.RecordBatch) -> dict:
         words = sorted({w for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True) if y != 1 for w in _WORD.findall((text or "").lower())})
