@@ -409,7 +409,7 @@ def repeated_windows(texts: DataFrame, span: int) -> DataFrame:
         total = on.count()
         if not total:
             break
-        sizes = on.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        sizes = stored(on.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-keys")
         parts = F.lit(1) if level + 1 == len(GRAMS) - 1 else F.ceil(F.col("n") / PART)
         dealt = on.join(sizes, "key").withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("cls", "at"), F.col("parts")).cast("int")).drop("n")
     found = hits[0]
