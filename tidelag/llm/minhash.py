@@ -359,10 +359,12 @@ def round_of_hubs(sets: DataFrame) -> DataFrame:
 
 def round_of_rest(sets: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of clusters that the hubs left in several components, with tasks in which all that are outside the largest meet all members."""
-    own = sets.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    wide = BLOCK // MEMBERS  # parts of this round are so many of the first round's
+    own = sets.withColumn("salt", F.floor(F.col("salt") / wide).cast("int")).withColumn("parts", F.ceil(F.col("parts") / wide).cast("int"))
+    own = own.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     count = own.groupBy("root", "comp").agg(F.count("*").alias("n"))
     largest = count.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
-    largest = largest.select("root", F.col("top.comp").alias("main"), F.greatest(F.ceil((F.col("n") - F.col("top.n")) / MEMBERS), F.lit(1)).cast("int").alias("outer"))
+    largest = largest.select("root", F.col("top.comp").alias("main"), F.greatest(F.ceil((F.col("n") - F.col("top.n")) / BLOCK), F.lit(1)).cast("int").alias("outer"))
     own = own.join(largest, "root").withColumn("a", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("outer")).cast("int"))
     every = own.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("bj", -1 - F.col("salt")).withColumn("salt", F.col("bj"))
     rest = own.filter("comp <> main").withColumn("bi", F.col("a")).withColumn("bj", F.explode(F.sequence(-F.col("parts"), F.lit(-1)))).withColumn("salt", F.col("a"))
