@@ -64,3 +64,22 @@ def repeated(texts: list[str | None], span: int = 400) -> list[tuple[int, int, i
                 cover[p : p + span] = b"\1" * span
         out.append((len(b), sum(cover), len(re.findall(b"\1+", bytes(cover))), bytes(c for c, v in zip(b, cover, strict=True) if not v)))
     return out
+
+
+def without_passages(texts: list[str | None], span: int, words: int) -> list[str]:
+    """Texts without the maximal covered runs in which so many words begin."""
+    raw = [(t or "").encode() for t in texts]
+    often = Counter(b[p : p + span] for b in raw for p in range(len(b) - span + 1))
+    space, out = b" \t\n\x0b\x0c\r", []
+    for b in raw:
+        cover = bytearray(len(b))
+        for p in range(len(b) - span + 1):
+            if often[b[p : p + span]] > 1:
+                cover[p : p + span] = b"\1" * span
+        left, at = b"", 0
+        for m in re.finditer(b"\1+", bytes(cover)):
+            begins = sum(b[i] not in space and (i == 0 or b[i - 1] in space) for i in range(m.start(), m.end()))
+            if begins >= words:
+                left, at = left + b[at : m.start()], m.end()
+        out.append((left + b[at:]).decode("utf-8", "ignore"))
+    return out
