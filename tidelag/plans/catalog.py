@@ -453,14 +453,13 @@ attribution_query("attribution_forward_daily", "forw", group=True, daily=True)
 attribution_query("attribution_reduced", "forw", short=True)
 
 
-@query("attribution_table")
-def _table(spark, d):
-    out = attr.attribution_table(series.daily(spark, d), "x", "y", _CB, "day", CEN, coef=ETA, vcov=VAR, link="log", nsim=200, seed=3)
-    return rounded(out, ["component"], [c for c in out.columns if c != "component"], 3)
+#: Draws of coefficients that SQL can have too: the literal ones times each of these.
+FACTORS = (0.5, 0.8, 1.0, 1.1, 1.6)
+_F = f"(SELECT unnest([{', '.join(f'{f:e}' for f in FACTORS)}]) AS f)"
 
 
-def table_sql() -> str:
-    """The seven components, each from its definition."""
+def table_sql(draws: bool = False) -> str:
+    """The seven components, each from its definition; with draws, intervals over FACTORS."""
     spans = {"total": "(a, b)", "cold": "(a, 5.0)", "heat": "(5.0, b)", "extreme cold": "(a, lo)", "moderate cold": "(lo, 5.0)", "moderate heat": "(5.0, hi)", "extreme heat": "(hi, b)"}
     edges = "e AS (SELECT min(x) AS a, max(x) AS b, least(quantile_cont(x, 0.025), 5.0e0) AS lo, greatest(quantile_cont(x, 0.975), 5.0e0) AS hi FROM daily)"
     out = []
@@ -470,10 +469,22 @@ def table_sql() -> str:
         for k in range(4):
             a, b = ("a", "b") if k == 0 else (f"lag(a, {k}) OVER (ORDER BY day)", f"lag(b, {k}) OVER (ORDER BY day)")
             terms.append(f"({0.30 - 0.05 * k!r}) * {a} + ({-0.40 + 0.08 * k!r}) * {b}")
-        out.append(f"SELECT '{name}' AS component, {r('sum(af * y) / sum(CASE WHEN af IS NOT NULL THEN y END)', 'af')} FROM (SELECT y, 1 - exp(-({' + '.join(terms)})) AS af FROM (SELECT day, y, m / 10 - 0.5 AS a, m * m / 100 - 0.25 AS b FROM (SELECT day, y, CASE WHEN x < {low} OR x > {high} THEN 5.0e0 ELSE x END AS m FROM daily CROSS JOIN e)))")
+        eta = f"(SELECT y, {' + '.join(terms)} AS eta FROM (SELECT day, y, m / 10 - 0.5 AS a, m * m / 100 - 0.25 AS b FROM (SELECT day, y, CASE WHEN x < {low} OR x > {high} THEN 5.0e0 ELSE x END AS m FROM daily CROSS JOIN e)))"
+        if draws:
+            each = f"SELECT f, sum((1 - exp(-f * eta)) * y) / sum(CASE WHEN eta IS NOT NULL THEN y END) AS af, sum(y) AS n FROM {eta}, {_F} GROUP BY f"
+            ends = ", ".join(r(f"quantile_cont({v}, {q})", f"{c}_{s}", 3) for c, v in (("an", "af * n"), ("af", "af")) for s, q in (("low", 0.025), ("high", 0.975)))
+            out.append(f"SELECT '{name}' AS component, {r(f'(SELECT {low} FROM e)', 'low_x', 3)}, {r(f'(SELECT {high} FROM e)', 'high_x', 3)}, {r('max(CASE WHEN f = 1 THEN af * n END)', 'an', 3)}, {r('max(CASE WHEN f = 1 THEN af END)', 'af', 3)}, {ends} FROM ({each})")
+        else:
+            out.append(f"SELECT '{name}' AS component, {r('sum((1 - exp(-eta)) * y) / sum(CASE WHEN eta IS NOT NULL THEN y END)', 'af')} FROM {eta}")
     return f"WITH {DAILY}, {edges} " + " UNION ALL ".join(out)
 
 
+@query("attribution_table", table_sql(draws=True))
+def _table(spark, d):
+    out = attr.attribution_table(series.daily(spark, d), "x", "y", _CB, "day", CEN, coef=ETA, vcov=VAR, link="log", draws=np.outer(ETA, FACTORS))
+    return rounded(out, ["component"], [c for c in out.columns if c != "component"], 3)
+
+
 @query("attribution_components", table_sql())
 def _components(spark, d):
     out = attr.attribution_table(series.daily(spark, d), "x", "y", _CB, "day", CEN, coef=ETA, vcov=VAR, link="log")
@@ -597,9 +608,9 @@ def _grid(spark, d):
     return rounded(model_grid(spark, specs, lambda terms: fit_glm(rows, "y", terms), lambda f: qaic(f, fitted(rows, f), "y", "mu")), ["model"], ["criterion", "delta"], 3)
 
 
-@query("simulated_intervals")
+@query("simulated_intervals", f"WITH {_grid_sql} SELECT var, {r('exp(0.9 * a - 1.12 * b)', 'fit', 5)}, {r('exp(quantile_cont(f * (0.9 * a - 1.12 * b), 0.025))', 'low', 5)}, {r('exp(quantile_cont(f * (0.9 * a - 1.12 * b), 0.975))', 'high', 5)} FROM g, {_F} WHERE lag = 0 GROUP BY var, a, b")
 def _intervals(spark, d):
-    return rounded(interval_frame(spark, _CB, ETA, VAR, nsim=500, seed=2, cen=CEN, at=_AT), ["var"], ["fit", "low", "high"], 5)
+    return rounded(interval_frame(spark, _CB, ETA, VAR, draws=np.outer(ETA, FACTORS), cen=CEN, at=_AT), ["var"], ["fit", "low", "high"], 5)
 
 
 @query("simulated_cities")
