@@ -4,8 +4,8 @@ Payload bytes are kept as the samples of a WAV file, 8 kHz mono: mu-law, A-law o
 (blocks of 64 bytes). Stored files are read back by their chunks, companded samples are expanded
 by lookup tables, ADPCM is decoded with numpy across all blocks of a batch at once, and the
 result is resampled to 16 kHz PCM by a half-band interpolator. That PCM is stored, without loss: even
-samples, and odd ones as differences from what the interpolator makes of the even ones. Features are
-computed from the stored PCM.
+samples (those of ADPCM as differences), and in a column of their own odd ones as differences from what
+the interpolator makes of the even ones. Features are computed from the stored PCM.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal
 values; repeated rows are stored each; ties don't arise; a very long text is one file, handled alone, with
@@ -137,22 +137,28 @@ def between(pcm: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.clip(mid, -32768, 32767).astype(np.int16)
 
 
-def packed(pcm: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Each signal (an even number of samples) as its even samples, then the odd ones less the half-band values, modulo 2 ** 16."""
-    even = np.ascontiguousarray(pcm[::2])
-    rest = (pcm[1::2].astype(np.int32) - between(even, off // 2)).astype("<i2").tobytes()
-    even = even.astype("<i2").tobytes()
-    return [even[a:b] + rest[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+def packed(pcm: np.ndarray, off: np.ndarray, stepped: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Of each signal (an even number of samples) its even samples, or where stepped their differences from one to the next,
+    and the odd samples less the half-band values; all modulo 2 ** 16."""
+    half, even = off // 2, pcm[::2].astype(np.int64)
+    before = np.concatenate([[0], even])[: len(even)]
+    before[half[:-1]] = 0
+    rest = (pcm[1::2].astype(np.int64) - between(pcm[::2], half)).astype("<i2").tobytes()
+    even = (even - np.where(np.repeat(stepped, np.diff(half)), before, 0)).astype("<i2").tobytes()
+    cuts = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))  # two bytes for each of half as many samples
+    return [even[a:b] for a, b in cuts], [rest[a:b] for a, b in cuts]
 
 
-def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(even: list[bytes], rest: list[bytes], stepped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Samples of packed signals, and offsets."""
-    off = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blobs])]).astype(np.int64)
-    even = np.frombuffer(b"".join(b[: len(b) // 2] for b in blobs), "<i2")
-    rest = np.frombuffer(b"".join(b[len(b) // 2 :] for b in blobs), "<i2")
-    out = np.empty(2 * len(even), np.int16)
-    out[::2], out[1::2] = even, (between(even, off // 2).astype(np.int32) + rest).astype(np.int16)
-    return out, off
+    half = np.concatenate([[0], np.cumsum([len(b) // 2 for b in even])]).astype(np.int64)
+    code = np.frombuffer(b"".join(even), "<i2").astype(np.int64)
+    total = np.cumsum(code)
+    base = np.repeat(total[half[:-1]] - code[half[:-1]], np.diff(half))
+    x = np.where(np.repeat(stepped, np.diff(half)), total - base, code).astype(np.int16)
+    out = np.empty(2 * len(x), np.int16)
+    out[::2], out[1::2] = x, (between(x, half).astype(np.int64) + np.frombuffer(b"".join(rest), "<i2")).astype(np.int16)
+    return out, 2 * half
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None) -> DataFrame:
@@ -189,40 +195,42 @@ def decoded(files: list[bytes]) -> tuple[list[int], list[bytes], np.ndarray, np.
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Every column of media, and payload, codec and pcm (packed, 16 kHz) of each row."""
+    """Every column of media, and payload, codec, pcm and rest (16 kHz, packed; stepped for ADPCM) of each row."""
     rows = media.withColumnsRenamed({id_col: "id", media_col: "media"}).select("id", "n_bytes", "media")
     kind = rows.schema["id"].dataType.simpleString()
     names = {v: k for k, v in TAGS.items()}
 
     def kernel(batch: pa.RecordBatch) -> dict:
         tags, payload, pcm, off = decoded(batch.column("media").to_pylist())
-        return {"id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "media": batch.column("media"), "payload": payload, "codec": [names[t] for t in tags], "pcm": packed(pcm, off)}
+        even, rest = packed(pcm, off, np.array(tags) == 17)
+        return {"id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "media": batch.column("media"), "payload": payload, "codec": [names[t] for t in tags], "pcm": even, "rest": rest}
 
-    out = per_slice(rows, "media", kernel, f"id {kind}, n_bytes long, media binary, payload binary, codec string, pcm binary", 1 << 20)
+    out = per_slice(rows, "media", kernel, f"id {kind}, n_bytes long, media binary, payload binary, codec string, pcm binary, rest binary", 1 << 20)
     return out.withColumnsRenamed({"id": id_col, "media": media_col})
 
 
 def with_feature(rows: DataFrame) -> DataFrame:
-    """Columns of rows but pcm, and feature, from the stored signal and the codec's name."""
-    others = [c for c in rows.columns if c != "pcm"]
+    """Columns of rows but pcm and rest, and feature, from the stored signal and the codec's name."""
+    others = [c for c in rows.columns if c not in ("pcm", "rest")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others).schema)
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        pcm, off = unpacked(batch.column("pcm").to_pylist())
+        codecs = batch.column("codec").to_pylist()
+        pcm, off = unpacked(batch.column("pcm").to_pylist(), batch.column("rest").to_pylist(), np.array(codecs) == "ima_adpcm")
         wide, first = pcm.astype(np.int64), off[:-1]
         energy, peak = np.add.reduceat(wide * wide, first), np.maximum.reduceat(np.abs(wide), first)
         turns = np.zeros(len(pcm), np.int64)
         turns[1:] = (wide[1:] < 0) != (wide[:-1] < 0)
         turns[first] = 0
         turns = np.add.reduceat(turns, first)
-        each = zip(batch.column("codec").to_pylist(), np.diff(off).tolist(), peak.tolist(), energy.tolist(), turns.tolist(), strict=True)
+        each = zip(codecs, np.diff(off).tolist(), peak.tolist(), energy.tolist(), turns.tolist(), strict=True)
         return {c: batch.column(c) for c in others} | {"feature": [f"{k} n={c} peak={p} power={e // c} turns={z}" for k, c, p, e, z in each]}
 
     return per_slice(rows, "pcm", kernel, f"{ddl}, feature string")
 
 
 #: Options of the stored tables: signals repeat each other over long distances.
-_TABLES = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
+_TABLES = {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -231,6 +239,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     signals = read_media(media).select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), -UNIT, UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "codec", "pcm",
+        F.sha2("media", 256).alias("media_sha256"), "codec", "pcm", "rest",
     )
     return with_feature(stored(signals, "media-pcm", options=_TABLES)).drop("codec")
