@@ -1,4 +1,9 @@
+import html
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidelag.llm import html_extract as h
@@ -101,3 +106,22 @@ def test_time_in_proportion_to_the_page(trees):
         start = time.time()
         h.parse(page)
         assert time.time() - start < 2
+
+
+def article_of(source: str) -> str:
+    """Main text of a page of the tables: what is in its article element."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", source, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", " ", inner, flags=re.S)
+    inner = re.sub(r"<(/?(?:p|h\d|li|ul|div|br|td|tr|table|blockquote)\b)[^>]*>", " ", inner)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", inner)).split())
+
+
+def test_recall_and_precision_on_the_tables_pages(trees):
+    both = found = wanted = 0
+    for source in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        if source and "<article" in source:
+            want, got = Counter(article_of(source).split()), Counter(h.extract(source, trees).split())
+            both, found, wanted = both + sum((want & got).values()), found + sum(got.values()), wanted + sum(want.values())
+    assert wanted > 5000
+    assert both > 0.98 * wanted
+    assert both > 0.98 * found
