@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -55,6 +57,25 @@ def test_histories(spark):
     np.testing.assert_allclose(np.array([r[2:] for r in rows], float), cb.matrix(q), atol=1e-8)
 
 
+def unstable(df):
+    """df, its rows in another order each time it is computed, as those of a shuffle between several executors."""
+
+    def run(frames):
+        for f in frames:
+            yield f.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "little"))
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_basis_of_histories_at_rows_in_no_fixed_order(spark):
+    p = spark.createDataFrame([(s, t, float(10 * s + t)) for s in range(200) for t in (1, 2)], "s int, t int, v double")
+    at = unstable(spark.range(200).selectExpr("cast(id as int) s", "3 t").coalesce(1))
+    cb = cross_basis_of(X, (1, 2), {"fun": "lin"}, {"fun": "lin"})
+    rows = with_history_basis(exposure_histories(p, "s", "t", "v", at, (1, 2)), "history", cb).collect()
+    # sums of the values, and of each times its lag
+    assert {r.s: (r.cb_v1_l1, r.cb_v1_l2) for r in rows} == {s: (20 * s + 3, 30 * s + 4) for s in range(200)}
+
+
 def test_a_constant_history_is_a_vector_prediction():
     cb = cross_basis_of(X, 5, {"fun": "ns", "df": 4}, {"fun": "lin"})
     v = np.array([3.0, 12.0, 25.0])

@@ -80,15 +80,17 @@ def exposure_histories(profiles: DataFrame, subject: str, time: str, value: str,
     """Each row of `at` (subject, time) with history, the array of the subject's values from the first lag to the last before time.
 
     profiles has one row for each subject and time; times without a row have the fill value. The lags of
-    a row are exploded, joined on (subject, time) and gathered again, so a long profile is never in one row.
+    each different (subject, time) are exploded, joined and gathered again, so a long profile is never in one row.
+    Rows of `at` meet their history by these values: numbers given to rows may differ each time `at` is computed.
     """
     low, high = lag_range(lag)
-    rows = at.select("*", F.monotonically_increasing_id().alias("__row"))
-    far = rows.select("__row", F.col(subject).alias("__s"), F.col(time).alias("__t"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("__k"))
+    asked = at.select(F.col(subject).alias("__s"), F.col(time).alias("__t")).distinct()
+    far = asked.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("__k"))
     known = profiles.select(F.col(subject).alias("__ps"), F.col(time).alias("__pt"), F.col(value).cast("double").alias("__v"))
     far = far.join(known, (F.col("__s") == F.col("__ps")) & (F.col("__t") - F.col("__k") == F.col("__pt")), "left")
-    packed = far.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__k", F.coalesce("__v", F.lit(float(fill))).alias("v")))).alias("h"))
-    return rows.join(packed, "__row").select(*at.columns, F.expr("transform(h, p -> p.v)").alias("history"))
+    packed = far.groupBy("__s", "__t").agg(F.array_sort(F.collect_list(F.struct("__k", F.coalesce("__v", F.lit(float(fill))).alias("v")))).alias("__h"))
+    rows = at.join(packed, F.col(subject).eqNullSafe(F.col("__s")) & F.col(time).eqNullSafe(F.col("__t")))
+    return rows.select(*at.columns, F.expr("transform(__h, p -> p.v)").alias("history"))
 
 
 def filled_calendar(df: DataFrame, day: str, group: str | None = None) -> DataFrame:
