@@ -67,6 +67,17 @@ def unstable(df):
     return df.mapInPandas(run, df.schema)
 
 
+def test_histories_of_rows_in_no_fixed_order(spark):
+    p = spark.createDataFrame([(s, t, float(10 * s + t)) for s in range(200) for t in (1, 2)], "s int, t int, v double")
+    at = spark.range(200).selectExpr("cast(id as int) s", "3 t", "id n")
+    odd = spark.createDataFrame([(7, 3, 200), (7, None, 201), (None, 3, 202)], "s int, t int, n long")
+    rows = exposure_histories(p, "s", "t", "v", unstable(at.union(odd).coalesce(1)), (1, 3)).collect()
+    want = {n: (n, 3, [10 * n + 2, 10 * n + 1, 0]) for n in range(200)}
+    want |= {200: (7, 3, [72, 71, 0]), 201: (7, None, [0, 0, 0]), 202: (None, 3, [0, 0, 0])}
+    assert len(rows) == len(want)
+    assert {r.n: (r.s, r.t, r.history) for r in rows} == want
+
+
 def test_basis_of_histories_at_rows_in_no_fixed_order(spark):
     p = spark.createDataFrame([(s, t, float(10 * s + t)) for s in range(200) for t in (1, 2)], "s int, t int, v double")
     at = unstable(spark.range(200).selectExpr("cast(id as int) s", "3 t").coalesce(1))
