@@ -45,6 +45,30 @@ def test_names_are_of_bytes():
         assert len(set(zip(name.tolist(), words, strict=True))) == len(set(words)) == len(set(name.tolist()))
 
 
+@pytest.mark.parametrize("width", [1, 2, 50, 100])
+def test_names_need_no_pairs_unless_hashes_meet(monkeypatch, width):
+    rng = np.random.default_rng(6)
+    piece = rng.integers(97, 100, 300).astype(np.uint8)
+    data = np.concatenate([piece, rng.integers(97, 100, 200).astype(np.uint8), piece[20:], np.full(250, 97, np.uint8), piece[:150]])
+    at = np.flatnonzero(rng.random(len(data) - width + 1) < 0.9)
+    text, calls, pairs = data.tobytes(), [], s.names
+    monkeypatch.setattr(s, "names", lambda *a: calls.append(1) or pairs(*a))
+
+    def check(hashes):
+        monkeypatch.setattr(s, "gram_hashes", hashes)
+        name, seen = s.names_of(data, width, at), {}
+        assert all(seen.setdefault(text[p : p + width], k) == k for p, k in zip(at.tolist(), name.tolist(), strict=True))
+        assert len(set(seen.values())) == len(seen)
+
+    true = s.gram_hashes
+    check(true)
+    off = np.array([0, 600, len(data)])
+    s.intervals(data, off, np.ones(2, int), 400)
+    assert not calls
+    check(lambda x, w: true(x, w) & np.uint64(3 << 62))  # few hashes, so different bytes meet
+    assert calls
+
+
 @pytest.mark.parametrize("span", [8, 20, 40])
 def test_intervals_against_counted_windows(span):
     r = random.Random(span)

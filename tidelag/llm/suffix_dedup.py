@@ -4,10 +4,11 @@
 2. Windows are the strings of `span` bytes. The key of a window is the smallest hash of the grams
    (span / 5 bytes) in it, so equal windows have equal keys and neighbours mostly share one. Runs of
    windows whose key occurs twice in the corpus go on, each as the text it spans, dealt by key.
-3. A task writes every run as strings of symbols: a symbol names span / SYMBOLS bytes exactly (names
-   of pairs of shorter names, no hashes), and a run has a string for each residue of its places, so a
-   window is SYMBOLS symbols in a row. Equal runs are one string with a multiplicity; symbols that
-   occur once end strings.
+3. A task writes every run as strings of symbols: a symbol names span / SYMBOLS bytes exactly (a hash
+   brings them together, all bytes are compared, and names of pairs of shorter names stand in where
+   different bytes meet), and a run has a string for each residue of its places, so a window is
+   SYMBOLS symbols in a row. Equal runs are one string with a multiplicity; symbols that occur once
+   end strings.
 4. The strings are cut into shards, each with its Burrows-Wheeler transform, and the transforms are
    merged by iterative interleave refinement: an iteration sorts the interleave by one more leading
    symbol, by way of the preceding symbols alone, and a boundary that appears in iteration k is a
@@ -95,31 +96,28 @@ def runs(data: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.nd
     return key[first], doc[first], place[first], place[last]
 
 
+def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in stable order of non-negative numbers, and the numbers in that order."""
+    n = len(x)
+    bits = np.uint64(max(n, 1).bit_length())
+    if n and int(x.max()).bit_length() + int(bits) <= 64:  # value and place in one number sort fastest
+        both = (x.astype(np.uint64) << bits) | np.arange(n, dtype=np.uint64)
+        both.sort()
+        return (both & np.uint64((1 << int(bits)) - 1)).view(np.int64), both >> bits
+    order = np.argsort(x, kind="stable")
+    return order, x[order]
+
+
 def dense(x: np.ndarray) -> np.ndarray:
     """Ranks of unsigned values, equal ones alike."""
-    n = len(x)
-    if not n:
+    if not len(x):
         return np.zeros(0, np.int64)
-    bits = np.uint64(n.bit_length())
-    if int(x.max()).bit_length() + int(bits) <= 64:  # value and place in one number sort fastest
-        both = np.sort((x << bits) | np.arange(n, dtype=np.uint64))
-        order, value = (both & np.uint64((1 << int(bits)) - 1)).astype(np.int64), both >> bits
-    else:
-        order = np.argsort(x, kind="stable")
-        value = x[order]
-    out = np.empty(n, np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
+    order, value = in_order(x)
+    out = np.zeros(len(x), np.int64)
+    out[order[1:]] = np.cumsum(value[1:] != value[:-1])
     return out
 
 
-def ordered(x: np.ndarray) -> np.ndarray:
-    """Places in stable order of small non-negative numbers."""
-    bits = np.uint64(max(len(x), 1).bit_length())
-    if len(x) and int(x.max()).bit_length() + int(bits) <= 64:
-        return (np.sort((x.astype(np.uint64) << bits) | np.arange(len(x), dtype=np.uint64)) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    return np.argsort(x, kind="stable")
-
-
 def names(data: np.ndarray, width: int) -> np.ndarray:
     """A number for the width bytes at each place, equal where they are (past the end, bytes count as 0): names of pairs of shorter names."""
     w = min(width, 5)
@@ -136,23 +134,60 @@ def names(data: np.ndarray, width: int) -> np.ndarray:
     return name
 
 
+def same_bytes(data: np.ndarray, width: int, before: np.ndarray) -> bool:
+    """Whether the width bytes at each place are those at before[place], where that is not -1.
+
+    Neighbours that look back equally far share all bytes but one, so only the last of them is compared whole.
+    """
+    place = np.flatnonzero(before >= 0)
+    back = before[place]
+    if (data[place] != data[back]).any():
+        return False
+    last = np.append(before, -1)[place + 1] != back + 1
+    place, back = place[last], back[last]
+    return not any((data[place + k] != data[back + k]).any() for k in range(1, width))
+
+
+def names_of(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """A number for the width bytes at each place of at (ascending, all within data), equal where they are.
+
+    A hash brings equal bytes together in one sort, then all bytes of a name are compared; if any differ, the
+    names are those of pairs.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(len(at).bit_length())
+    both = gram_hashes(data, width)[at] >> bits << bits
+    both |= np.arange(len(at), dtype=np.uint64)
+    both.sort()
+    order, value = (both & np.uint64((1 << int(bits)) - 1)).view(np.int64), both >> bits
+    new = value[1:] != value[:-1]
+    place, before = at[order], np.full(len(data), -1)
+    before[place[1:][~new]] = place[:-1][~new]
+    if not same_bytes(data, width, before):
+        return names(data, width)[at]
+    out = np.zeros(len(at), np.int64)
+    out[order[1:]] = np.cumsum(new)
+    return out
+
+
 def shard_order(sym: np.ndarray, most: int) -> np.ndarray:
     """Suffixes of strings that end with 0 each, in order of their first `most` symbols or more, by doubling; 0 ends a comparison, ties in order of place."""
     n = len(sym)
     place = np.arange(n)
     ends = np.flatnonzero(sym == 0)
-    end = ends[np.searchsorted(ends, place)]
+    end = np.repeat(ends, np.diff(ends, prepend=-1))
     longest, h = min(int((end - place).max()) + 1, most), 1
-    order = ordered(sym)
+    order, value = in_order(sym)
     rank = np.zeros(n, np.int64)
-    rank[order[1:]] = np.cumsum(sym[order][1:] != sym[order][:-1])
+    rank[order[1:]] = np.cumsum(value[1:] != value[:-1])
     while h < longest and rank[order[-1]] < n - len(ends):
         ahead = place + h
         second = np.where(ahead <= end, rank[np.minimum(ahead, n - 1)] + 1, 0)
         key = rank * (n + 2) + second
-        order = ordered(key)
+        order, value = in_order(key)
         rank = np.zeros(n, np.int64)
-        rank[order[1:]] = np.cumsum(key[order][1:] != key[order][:-1])
+        rank[order[1:]] = np.cumsum(value[1:] != value[:-1])
         h *= 2
     return order
 
@@ -170,23 +205,23 @@ def merged(bwts: list[np.ndarray], tops: list[int], most: int) -> tuple[np.ndarr
     before, at most `most`.
     """
     size = np.array([len(b) for b in bwts])
-    symbols, n = np.concatenate(bwts).astype(np.int64), int(size.sum())
+    n = int(size.sum())
+    number = np.int32 if n < 1 << 31 else np.int64
+    symbols = np.concatenate(bwts).astype(number)
     kind = np.uint8 if len(bwts) < 256 else np.uint16 if len(bwts) < 65536 else np.int32
     shard = np.repeat(np.arange(len(bwts)), size).astype(kind)
     top = np.repeat(np.arange(len(bwts)), tops).astype(kind)
-    row, block, lcp, known = np.arange(n), np.zeros(n, np.int64), np.full(n, -1, np.int32), 0
+    row, block, lcp, known = np.arange(n), np.zeros(n, number), np.full(n, -1, np.int32), 0
     for k in range(most):
-        before = symbols[row]
-        inner = np.flatnonzero(before)
-        source = inner[ordered(before[inner])]
-        c, old = before[source], block[source]
+        source, c = (x[len(top) :] for x in in_order(symbols[row]))  # those before a string's first symbol are 0
+        old = block[source]
         edge = np.ones(n, bool)
         edge[len(top) + 1 :] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
         shard = np.concatenate([top, shard[source]])
         row = np.empty(n, np.int64)
         row[np.argsort(shard, kind="stable")] = np.arange(n)
         lcp[edge & (lcp < 0)] = k
-        block = np.cumsum(edge)
+        block = np.cumsum(edge, dtype=number)
         if block[-1] in (n, known):
             break
         known = block[-1]
@@ -224,12 +259,15 @@ def intervals(data: np.ndarray, off: np.ndarray, times: np.ndarray, span: int) -
     np.add.at(step, first, 1)
     np.add.at(step, first + far, -1)
     inside = np.cumsum(step[:-1]) > 0
-    name, often = names(wide, width), np.repeat(times, size + 1)
-    keep = inside & (np.bincount(name[inside], often[inside], n + 1)[name] > 1)
-    # a string for each residue of the places, all symbols of one a row
+    spots, often = np.flatnonzero(inside), np.repeat(times, size + 1)
+    name = names_of(wide, width, spots)
+    twice = np.bincount(name, often[spots], 1) > 1
     rows = -(-n // width)
+    named = np.zeros(rows * width, np.int64)
+    named[spots] = np.where(twice, np.cumsum(twice), 0)[name]  # symbols that occur twice, from 1
+    # a string for each residue of the places, all symbols of one a row
     table = np.zeros((width, rows + 1), np.int64)
-    table[:, :-1] = np.concatenate([np.where(keep, name + 1, 0), np.zeros(rows * width - n, np.int64)]).reshape(rows, width).T
+    table[:, :-1] = named.reshape(rows, width).T
     place = np.full((width, rows + 1), -1)
     place[:, :-1] = np.arange(rows * width).reshape(rows, width).T
     sym, place = table.ravel(), place.ravel()
@@ -245,15 +283,15 @@ def intervals(data: np.ndarray, off: np.ndarray, times: np.ndarray, span: int) -
     sym = np.where(sym > 0, np.cumsum(there)[sym], 0)
     order, lcp = common_prefixes(sym, SYMBOLS)
     ends = np.flatnonzero(sym == 0)
-    start = ends[np.searchsorted(ends, order)] - order >= SYMBOLS  # places with a whole window
+    whole = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(sym)) >= SYMBOLS
+    start = whole[order]  # places with a whole window
     interval = np.cumsum(lcp < SYMBOLS)
     place, interval = place[order][start], interval[start]
     weight = np.bincount(interval, often[place], int(interval.max()) + 1 if len(interval) else 0)
     good = weight[interval] > 1
     place, interval = place[good], interval[good]
-    order = np.lexsort((place, interval))
-    place = place[order]
-    return place - (np.searchsorted(first, place, "right") - 1), interval[order]
+    place = np.sort(interval * n + place) - interval * n  # the intervals are in order; within each, places
+    return place - np.repeat(number, size + 1)[place], interval
 
 
 ROWS = pa.schema([("cls", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64()), ("met", pa.bool_()), ("run", pa.binary())])
